@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.text import BLANK, column
-from emberline.operators.running import DEFAULT_SLICE_WIDTH, Track, running, slice_of
+from emberline.operators.running import DEFAULT_SLICE_WIDTH, slice_of
 from emberline.schemas import IDLE_FLUSH_MS, MAX_ENTRY_LINES
 
 # Beginnings that mark a continuation line.
@@ -32,44 +32,45 @@ def segment_entries(
     ``idle_ms``; ``None`` turns the pause rule off. Work is split by (source, slice of seq), so one
     busy source spreads over many tasks; only (line count, open entry) travels between slices.
     """
-    starts = is_entry_start("line")
-    if idle_ms is None:
-        flagged = lines.select("*", slice_of("seq", slice_width).alias("_slice"), starts.alias("_start"))
-    else:
-        timed = running(
-            lines,
-            ["source_id"],
-            ["seq"],
-            [Track("_previous", "last", F.unix_micros("received_at"))],
-            slice_width,
-            include_current=False,
-            slice_name="_slice",
-        )
-        pause = F.unix_micros("received_at") - F.col("_previous") >= F.lit(idle_ms * 1000)
-        flagged = timed.withColumn("_start", starts | F.coalesce(pause, F.lit(False))).drop("_previous")
-
     part = ["source_id", "_slice"]
-    inside = Window.partitionBy(*part).orderBy("seq")
-    counted = flagged.withColumn("_rank", F.row_number().over(inside))
+    pause = F.unix_micros("received_at") - F.unix_micros("_previous") >= F.lit((idle_ms or 0) * 1000)
+    pauses = F.lit(False) if idle_ms is None else F.coalesce(pause, F.lit(False))
+    cut = lines.select("*", slice_of("seq", slice_width).alias("_slice"), is_entry_start("line").alias("_header"))
 
-    per_slice = counted.groupBy(*part).agg(
+    # Light pass: what each slice holds, seen on its own. Its first line has no predecessor here.
+    inside = Window.partitionBy(*part).orderBy("seq")
+    light = (
+        cut.select(*part, "seq", "received_at", "_header")
+        .withColumn("_rank", F.row_number().over(inside))
+        .withColumn("_previous", F.lag("received_at").over(inside))
+        .withColumn("_opens", F.col("_header") | pauses)
+    )
+    per_slice = light.groupBy(*part).agg(
         F.count(F.lit(1)).alias("_lines"),
-        F.max(F.when(F.col("_start"), F.col("seq"))).alias("_open_key"),
-        F.max(F.when(F.col("_start"), F.col("_rank"))).alias("_open_rank"),
+        F.max(F.when(F.col("_opens"), F.col("seq"))).alias("_open_key"),
+        F.max(F.when(F.col("_opens"), F.col("_rank"))).alias("_open_rank"),
         F.min("seq").alias("_first_seq"),
+        F.min_by("received_at", "seq").alias("received_at"),
+        F.max_by("received_at", "seq").alias("_last_time"),
     )
-    # Over slices only: lines seen before the slice, and where the entry still open there began.
-    earlier = (
-        Window.partitionBy("source_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # Over slices only: a pause before the slice, lines seen before it, the entry still open there.
+    by_slice = Window.partitionBy("source_id").orderBy("_slice")
+    earlier = by_slice.rowsBetween(Window.unboundedPreceding, -1)
+    placed = (
+        per_slice.withColumn("_previous", F.lag("_last_time").over(by_slice))
+        .withColumn("_late", pauses)
+        .withColumn(
+            "_open_key", F.coalesce("_open_key", F.when(F.col("_late"), F.col("_first_seq")))
+        )
+        .withColumn("_open_rank", F.coalesce("_open_rank", F.when(F.col("_late"), F.lit(1))))
+        .withColumn("_before", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)))
+        .withColumn("_open_at", F.col("_before") + F.col("_open_rank"))
     )
-    whole = Window.partitionBy("source_id").orderBy("_slice")
-    placed = per_slice.withColumn(
-        "_before", F.coalesce(F.sum("_lines").over(earlier), F.lit(0))
-    ).withColumn("_open_at", F.col("_before") + F.col("_open_rank"))
     seeds = placed.select(
         *part,
+        F.col("_previous").alias("received_at"),
         F.coalesce(
-            F.last("_open_key", ignorenulls=True).over(earlier), F.first("_first_seq").over(whole)
+            F.last("_open_key", ignorenulls=True).over(earlier), F.first("_first_seq").over(by_slice)
         ).alias("_carried_key"),
         (
             F.col("_before")
@@ -78,28 +79,30 @@ def segment_entries(
         ).alias("_weight"),
     ).withColumn("_seed", F.lit(True))
 
-    both = flagged.select(
+    # Full pass: a seed row in front of each slice stands for the lines already in the open entry.
+    both = cut.select(
         "*", F.lit(1).cast("bigint").alias("_weight"), F.lit(False).alias("_seed")
     ).unionByName(seeds, allowMissingColumns=True)
-    upto = (
-        Window.partitionBy(*part)
-        .orderBy(F.col("_seed").desc(), "seq")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    # A slice's seed row stands for the lines already in the open entry.
-    position = both.withColumn("_running", F.sum("_weight").over(upto))
-    opened = position.withColumn(
-        "entry_key",
-        F.last(
-            F.when(F.col("_seed"), F.col("_carried_key")).when(F.col("_start"), F.col("seq")),
-            ignorenulls=True,
-        ).over(upto),
-    ).withColumn(
-        "_base",
-        F.coalesce(
-            F.last(F.when(F.col("_start"), F.col("_running") - 1), ignorenulls=True).over(upto),
-            F.lit(0),
-        ),
+    ordered = Window.partitionBy(*part).orderBy(F.col("_seed").desc(), "seq")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opened = (
+        both.withColumn("_previous", F.lag("received_at").over(ordered))
+        .withColumn("_running", F.sum("_weight").over(upto))
+        .withColumn("_start", ~F.col("_seed") & (F.col("_header") | pauses))
+        .withColumn(
+            "entry_key",
+            F.last(
+                F.when(F.col("_seed"), F.col("_carried_key")).when(F.col("_start"), F.col("seq")),
+                ignorenulls=True,
+            ).over(upto),
+        )
+        .withColumn(
+            "_base",
+            F.coalesce(
+                F.last(F.when(F.col("_start"), F.col("_running") - 1), ignorenulls=True).over(upto),
+                F.lit(0),
+            ),
+        )
     )
     offset = F.col("_running") - 1 - F.col("_base")
     return (

@@ -19,6 +19,7 @@ from emberline.operators.incidents import (
 )
 from emberline.operators.parsing import log_events
 from emberline.operators.running import DEFAULT_SLICE_WIDTH
+from emberline.session import stage
 from emberline.schemas import ALERT_THRESHOLD, IDLE_FLUSH_MS, MAX_ENTRY_LINES, WINDOW_SECONDS
 
 
@@ -37,15 +38,22 @@ def events_of(lines: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
 
 
-def anomalies_of(lines: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def anomalies_of(events: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Anomalies of stored events, which are read twice: slice totals first, rows second."""
     return detect_anomalies(
-        events_of(lines, settings),
+        events,
         settings.window_seconds,
         settings.threshold,
         slice_width=settings.slice_width,
     )
 
 
+def staged_anomalies(lines: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Lines to anomalies with a stored table after each step."""
+    events = stage(events_of(lines, settings), "events")
+    return stage(anomalies_of(events, settings), "anomalies")
+
+
 @dataclass(frozen=True)
 class Outcome:
     fold: Fold

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # All timestamps are UTC instants; AQE re-plans joins and splits skewed partitions at run time.
 SETTINGS = {
@@ -43,3 +44,16 @@ def shared_dir(spark: SparkSession) -> str:
     if _local_fallback is None:
         _local_fallback = tempfile.mkdtemp(prefix="emberline-")
     return _local_fallback
+
+
+def stage(table: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write a table to the shared folder and return it as read back.
+
+    Between the steps of a chain this cuts the lineage: later steps read a columnar table, scan only
+    the columns they need, and do not repeat the work above it when they use it more than once or
+    when an executor is lost. Name a ``path`` to keep the table; otherwise a new folder is taken.
+    """
+    spark = table.sparkSession
+    place = path or f"{shared_dir(spark)}/emberline-{name}-{uuid.uuid4().hex}"
+    table.write.mode("overwrite").parquet(place)
+    return spark.read.schema(table.schema).parquet(place)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberline.functions.identity import fingerprint_of, incident_id
-from emberline.plans.pipeline import Settings, anomalies_of, events_of
+from emberline.plans.pipeline import Settings, events_of, staged_anomalies
+from emberline.session import stage
 
 WINDOW = 86_400
 THRESHOLD = 5
@@ -88,11 +89,11 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_of(log_lines(spark, sf_dir), SETTINGS)
+    return stage(events_of(log_lines(spark, sf_dir), SETTINGS), "events")
 
 
 def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomalies_of(log_lines(spark, sf_dir), SETTINGS)
+    return staged_anomalies(log_lines(spark, sf_dir), SETTINGS)
 
 
 def commands_of_events(events: DataFrame) -> DataFrame:
