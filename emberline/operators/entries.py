@@ -104,10 +104,9 @@ def segment_entries(
             ),
         )
     )
-    offset = F.col("_running") - 1 - F.col("_base")
     return (
         opened.where(~F.col("_seed"))
-        .withColumn("chunk", F.floor(offset / F.lit(max(1, max_lines))).cast("bigint"))
+        .withColumn("chunk", F.expr(f"(_running - 1 - _base) div {max(1, max_lines)}"))
         .select(*lines.columns, "entry_key", "chunk")
     )
 

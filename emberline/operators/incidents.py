@@ -90,50 +90,36 @@ class Commands:
 
 
 def resolve_commands(commands: DataFrame, incidents: DataFrame) -> Commands:
-    """Point every command at an incident key, by id or, for ACKNOWLEDGED, by key as a fallback.
+    """Point every command at an incident: by its id or, for ACKNOWLEDGED, by its own key.
 
-    ``incidents`` needs id, fingerprint and source_id. A command whose id already matches its own
-    key needs no lookup. Commands of an unknown type or incident go to ``rejected``.
+    ``incidents`` needs id, fingerprint and source_id. Commands of an unknown type or incident go to
+    ``rejected``. Both lookups are equality joins on the incident id.
     """
-    known_type = F.col("type").isin(OPERATOR_EVENTS)
-    own_id = incident_id("fingerprint", "source_id")
     keys = incidents.select(
-        F.col("id").alias("incident_id"),
-        F.col("fingerprint").alias("_by_fingerprint"),
-        F.col("source_id").alias("_by_source"),
-    ).dropDuplicates(["incident_id"])
-
-    typed = commands.where(known_type)
-    complete = F.col("fingerprint").isNotNull() & (F.col("incident_id") == own_id)
-    direct = typed.where(F.coalesce(complete, F.lit(False))).withColumn("found", F.lit(True))
-    looked_up = (
-        typed.where(~F.coalesce(complete, F.lit(False)))
-        .join(keys.withColumn("_hit", F.lit(True)), "incident_id", "left")
-        .withColumn(
-            "found",
-            F.col("_hit").isNotNull()
-            | ((F.col("type") == "ACKNOWLEDGED") & F.col("fingerprint").isNotNull()),
-        )
-        .withColumn(
-            "fingerprint",
-            F.when(F.col("_hit").isNotNull(), F.col("_by_fingerprint")).otherwise(F.col("fingerprint")),
-        )
-        .withColumn(
-            "source_id",
-            F.when(F.col("_hit").isNotNull(), F.col("_by_source")).otherwise(F.col("source_id")),
-        )
+        F.col("id").alias("_id"),
+        F.col("fingerprint").alias("_fingerprint"),
+        F.col("source_id").alias("_source"),
+        F.lit(True).alias("_hit"),
+    ).dropDuplicates(["_id"])
+    known_type = F.coalesce(F.col("type").isin(OPERATOR_EVENTS), F.lit(False))
+    by_id = commands.join(
+        keys, known_type & (F.col("incident_id") == F.col("_id")), "left"
     )
+    own_keys = keys.select(F.col("_id").alias("_own_id"), F.col("_hit").alias("_own"))
+    falls_back = (F.col("type") == "ACKNOWLEDGED") & F.col("_hit").isNull() & F.col("fingerprint").isNotNull()
+    looked_up = by_id.withColumn(
+        "_key", F.when(falls_back, incident_id("fingerprint", "source_id"))
+    ).join(own_keys, F.col("_key") == F.col("_own_id"), "left")
+    hit = F.col("_hit").isNotNull()
+    found = hit | F.col("_own").isNotNull()
     wanted = commands.columns
-    both = direct.select(*wanted, "found").unionByName(looked_up.select(*wanted, "found"))
-    unsupported = commands.where(~F.coalesce(known_type, F.lit(False))).withColumn(
-        "reason", F.lit("unsupported event type")
-    )
+    targeted = looked_up.where(found).withColumn(
+        "fingerprint", F.when(hit, F.col("_fingerprint")).otherwise(F.col("fingerprint"))
+    ).withColumn("source_id", F.when(hit, F.col("_source")).otherwise(F.col("source_id")))
+    reason = F.when(known_type, F.lit("incident not found")).otherwise(F.lit("unsupported event type"))
     return Commands(
-        both.where(F.col("found")).drop("found"),
-        both.where(~F.col("found"))
-        .drop("found")
-        .withColumn("reason", F.lit("incident not found"))
-        .unionByName(unsupported),
+        targeted.select(*wanted),
+        looked_up.where(~found).withColumn("reason", reason).select(*wanted, "reason"),
     )
 
 

@@ -28,7 +28,7 @@ class Track:
 
 
 def slice_of(order: str, width: int) -> Column:
-    return F.floor(F.col(order) / F.lit(width)).cast("bigint")
+    return F.expr(f"`{order}` div {int(width)}")
 
 
 def _summarise(track: Track, order: list[str]) -> Column:

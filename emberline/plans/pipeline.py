@@ -71,14 +71,17 @@ def incidents_of(
     prior: DataFrame | None = None,
     slice_width: int = DEFAULT_SLICE_WIDTH,
 ) -> Outcome:
-    """Resolve commands against known and newly created incidents, then fold."""
+    """Resolve commands against known and newly created incidents, then fold.
+
+    The resolved commands and the folded steps are stored: each is read several times below.
+    """
     known = rollup_incidents(anomalies).select("id", *KEY)
     if prior is not None:
         known = known.unionByName(prior.select("id", *KEY))
-    resolved = resolve_commands(commands, known)
-    return Outcome(
-        fold_incidents(anomalies, resolved.resolved, prior, slice_width), resolved.rejected
-    )
+    commands_by_key = resolve_commands(commands, known)
+    resolved = stage(commands_by_key.resolved, "commands")
+    steps = fold_incidents(anomalies, resolved, prior, slice_width).steps
+    return Outcome(Fold(stage(steps, "steps")), commands_by_key.rejected)
 
 
 def recent_cards(

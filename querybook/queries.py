@@ -13,7 +13,7 @@ from emberline.functions.identity import fingerprint_of, incident_id, normalize_
 from emberline.operators import counting, dashboard, entries, incidents, notifications, parsing, summaries
 from emberline.operators.dashboard import View
 from emberline.plans.pipeline import Outcome, incidents_of, recent_cards
-from emberline.session import shared_dir
+from emberline.session import shared_dir, stage
 from emberline.sources import tables as stored
 from emberline.sources.log_lines import kafka_log_lines
 from querybook import sql
@@ -260,24 +260,14 @@ def incident_merge(spark, d):
     """The same incidents in two runs: the first half is stored, the second continues from it."""
     found = given.summarised_anomalies(spark, d)
     orders = given.commands(spark, d)
-    half = F.timestamp_seconds(F.lit(1_705_276_800))
-    folder = fresh_folder(spark, "incidents")
-    first = incidents_of(found.where(F.col("detected_at") < half), orders.where(F.col("seq") < _cut(spark, d)))
-    prior = stored.write_version(first.fold.incidents, folder, 0)
-    second = incidents_of(
-        found.where(F.col("detected_at") >= half), orders.where(F.col("seq") >= _cut(spark, d)), prior
-    )
+    cut = given.table(spark, d, "events").agg(F.expr("10 * (max(event_id) div 2)")).first()[0]
+    early = F.col("seq") < cut
+    first = incidents_of(found.where(early), orders.where(early))
+    prior = stored.write_version(first.fold.incidents, fresh_folder(spark, "incidents"), 0)
+    second = incidents_of(found.where(~early), orders.where(~early), prior)
     return shown(second.fold.incidents.drop("tags"))
 
 
-def _cut(spark, d):
-    """First event number of the second half of the month."""
-    events = given.table(spark, d, "events")
-    half = F.timestamp_seconds(F.lit(1_705_276_800 - 1))
-    first = events.where(F.col("ts").cast("timestamp") >= half).agg(F.min("event_id")).first()[0]
-    return first * 10
-
-
 @registered(sql.to_fold(f"SELECT {sql.EVENT_COLUMNS} FROM incident_events"))
 def incident_events(spark, d):
     return shown(_outcome(spark, d).fold.events.drop("id"))
@@ -431,7 +421,7 @@ _ISO = "strftime(detected_at, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(detecte
 _MAIL = f"""mail AS (
   SELECT *, coalesce(s_title, 'Unknown incident') AS title, coalesce(s_summary, 'No summary available') AS summary,
     coalesce(s_cause, 'Unknown') AS cause, coalesce(s_actions, 'No suggested actions available') AS actions, coalesce(s_severity, 'UNKNOWN') AS severity,
-    coalesce(source_name, 'unknown') AS name, {_ISO} AS at FROM summarised)"""
+    coalesce(source_name, 'unknown') AS name, {_ISO} AS seen_at FROM summarised)"""
 
 
 def _escaped(column: str) -> str:
@@ -448,7 +438,7 @@ _SUBJECT = "'[Watch] [' || severity || '] ' || level || ' anomaly in ' || name"
 _TEXT = (
     "'Incident Watch detected an anomaly and generated the following incident summary.\n\nIncident overview\n- Title: ' || title || "
     "'\n- Severity: ' || severity || '\n- Log level: ' || level || '\n- Occurrences in the current window: ' || count || "
-    "'\n- Detected at (UTC): ' || at || '\n- Source name: ' || name || '\n- Source id: ' || source_id || '\n- Fingerprint: ' || fingerprint || "
+    "'\n- Detected at (UTC): ' || seen_at || '\n- Source name: ' || name || '\n- Source id: ' || source_id || '\n- Fingerprint: ' || fingerprint || "
     "'\n\nWhat happened\n' || summary || '\n\nProbable cause\n' || cause || '\n\nRecommended investigation steps\n' || actions || "
     "'\n\nSample log\n' || trim(sample_message) || '\n\nThis email was generated automatically by Incident Watch.\n'"
 )
@@ -456,7 +446,7 @@ _HTML = (
     "'<html><body><header><small>Incident Watch Incident Notification</small><h1>' || " + _escaped("title")
     + " || '</h1><p>An anomaly was detected in <strong>' || name || '</strong> and has been summarized below.</p></header><dl>"
     "<dt>Severity</dt><dd>' || severity || '</dd><dt>Log Level</dt><dd>' || level || '</dd><dt>Occurrences</dt><dd>' || count || ' in current window</dd>"
-    "<dt>Detected At</dt><dd>' || at || '</dd><dt>Source</dt><dd>' || name || ' (' || source_id || ')</dd><dt>Fingerprint</dt><dd>' || fingerprint || '</dd></dl>"
+    "<dt>Detected At</dt><dd>' || seen_at || '</dd><dt>Source</dt><dd>' || name || ' (' || source_id || ')</dd><dt>Fingerprint</dt><dd>' || fingerprint || '</dd></dl>"
     "<h2>What Happened</h2><p>' || " + _paragraphs("summary") + " || '</p><h2>Probable Cause</h2><p>' || " + _paragraphs("cause")
     + " || '</p><h2>Recommended Investigation Steps</h2><p>' || " + _paragraphs("actions") + " || '</p><h2>Sample Log</h2><pre>' || "
     + _escaped("trim(sample_message)") + " || '</pre></body></html>\n'"
@@ -539,7 +529,7 @@ def available_sources(spark, d):
 
 
 def _views(spark, d) -> DataFrame:
-    return dashboard.source_views(given.sources(spark, d), given.jobs(spark, d))
+    return stage(dashboard.source_views(given.sources(spark, d), given.jobs(spark, d)), "views")
 
 
 @registered(sql.dims("SELECT * FROM views"))
@@ -589,7 +579,7 @@ def list_jobs(spark, d):
 @registered(
     sql.dims(
         _JOB_COLUMNS
-        + " WHERE status = 'running' AND runtime_key = 'building' AND (contains(command, 'c-12') OR len(list_filter(string_split(source_ids, '|'), x -> contains(x, 'c-12'))) > 0)"
+        + " WHERE status = 'running' AND runtime_key = 'building' AND (contains(command, 'c-12') OR len(list_filter(string_split(source_ids, '|'), lambda x: contains(x, 'c-12'))) > 0)"
     )
 )
 def filter_jobs(spark, d):
@@ -638,7 +628,7 @@ def runtime_filter_counts(spark, d):
 def _cards(spark, d) -> DataFrame:
     found = given.summarised_anomalies(spark, d)
     folded = incidents_of(found, given.commands(spark, d)).fold.incidents
-    return recent_cards(folded, given.anomalies(spark, d))
+    return stage(recent_cards(stage(folded, "incidents"), found), "cards")
 
 
 @registered(sql.to_cards(f"SELECT {sql.INCIDENT_COLUMNS} FROM recent"))
@@ -680,7 +670,7 @@ def _all_cards(spark, d) -> DataFrame:
     found = given.summarised_anomalies(spark, d)
     folded = incidents_of(found, given.commands(spark, d)).fold.incidents
     return dashboard.incident_cards(
-        dashboard.nest_samples(folded, incidents.incident_samples(given.anomalies(spark, d)))
+        dashboard.nest_samples(stage(folded, "incidents"), incidents.incident_samples(found))
     ).drop("available_event_types")
 
 

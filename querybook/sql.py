@@ -159,7 +159,7 @@ resolved AS (
   SELECT incident_id, coalesce(k_fp, fingerprint) AS fingerprint, coalesce(k_source, source_id) AS source_id, type, actor, note, ts, seq
   FROM looked_up
   WHERE type IN ('ACKNOWLEDGED', 'SUPPRESSED', 'RESOLVED', 'REGRESSED', 'CLOSED')
-    AND (k_fp IS NOT NULL OR (type = 'ACKNOWLEDGED' AND fingerprint IS NOT NULL)))"""
+    AND (k_fp IS NOT NULL OR (type = 'ACKNOWLEDGED' AND (fingerprint, source_id) IN (SELECT (k_fp, k_source) FROM incident_keys))))"""
 
 FOLD = f"""firsts AS (SELECT fingerprint, source_id, min(seq) AS first_seq FROM anomalies GROUP BY ALL),
 inputs AS (

@@ -168,7 +168,8 @@ def with_given_summaries(found: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def summarised_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_given_summaries(anomalies(spark, sf_dir), table(spark, sf_dir, "events"))
+    found = with_given_summaries(anomalies(spark, sf_dir), table(spark, sf_dir, "events"))
+    return stage(found, "summarised")
 
 
 def responses(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
