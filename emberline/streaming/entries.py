@@ -17,27 +17,35 @@ from pyspark.sql.streaming import StreamingQuery
 from emberline.operators.entries import assemble_entries, segment_entries
 from emberline.operators.running import DEFAULT_SLICE_WIDTH
 from emberline.schemas import IDLE_FLUSH_MS, LOG_LINES, MAX_ENTRY_LINES
+from emberline.session import stage
 from emberline.sources.tables import read_version, write_version
 
 
 def split_open(
-    lines: DataFrame,
+    segmented: DataFrame,
     now: dt.datetime | None,
     max_lines: int = MAX_ENTRY_LINES,
     idle_ms: int = IDLE_FLUSH_MS,
-    slice_width: int = DEFAULT_SLICE_WIDTH,
 ) -> tuple[DataFrame, DataFrame]:
-    """(finished entry parts, open lines). The last part of a source is open until a pause or full.
+    """Segmented lines as (finished entry parts, open lines).
 
-    ``now`` is the clock the pause is measured against; None leaves every unfinished part open.
+    The last part of a source stays open until it is full or a pause passed. ``now`` is the clock the
+    pause is measured against; None leaves every unfinished part open.
     """
-    segmented = segment_entries(lines, max_lines, idle_ms, slice_width)
-    last = F.max_by(F.struct("entry_key", "chunk", "received_at"), "seq")
-    tails = segmented.groupBy("source_id").agg(last.alias("_tail"))
+    part = ["source_id", "entry_key", "chunk"]
+    parts = segmented.groupBy(*part).agg(
+        F.count(F.lit(1)).alias("_lines"),
+        F.max("seq").alias("_seq"),
+        F.max_by("received_at", "seq").alias("_time"),
+    )
+    tail = F.max_by(F.struct("entry_key", "chunk", "_lines", "_time"), "_seq")
+    open_parts = (
+        parts.groupBy("source_id").agg(tail.alias("_tail")).where(F.col("_tail._lines") < max_lines)
+    )
     if now is not None:
-        waited = F.lit(now).cast("timestamp").cast("double") - F.col("_tail.received_at").cast("double")
-        tails = tails.where(F.coalesce(waited * 1000 < idle_ms, F.lit(True)))
-    tails = tails.select(
+        waited = F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("_tail._time")
+        open_parts = open_parts.where(F.coalesce(waited < idle_ms * 1000, F.lit(True)))
+    open_parts = open_parts.select(
         F.col("source_id").alias("_s"),
         F.col("_tail.entry_key").alias("_e"),
         F.col("_tail.chunk").alias("_c"),
@@ -48,18 +56,9 @@ def split_open(
         & (F.col("entry_key") == F.col("_e"))
         & (F.col("chunk") == F.col("_c"))
     )
-    part = ["source_id", "entry_key", "chunk"]
-    opened = segmented.join(tails, same, "left_semi")
-    full = opened.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= max_lines)
-    full = full.select(
-        F.col("source_id").alias("_s"), F.col("entry_key").alias("_e"), F.col("chunk").alias("_c")
-    )
-    opened = opened.join(full, same, "left_anti")
-    open_parts = opened.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).select(
-        F.col("source_id").alias("_s"), F.col("entry_key").alias("_e"), F.col("chunk").alias("_c")
-    )
     finished = segmented.join(open_parts, same, "left_anti")
-    return assemble_entries(finished), opened.select(*lines.columns)
+    opened = segmented.join(open_parts, same, "left_semi")
+    return assemble_entries(finished), opened.drop("entry_key", "chunk")
 
 
 @dataclass(frozen=True)
@@ -79,13 +78,15 @@ class EntryStream:
         prior = read_version(spark, self.state, batch_id - 1, LOG_LINES)
         names = [field.split()[0] for field in LOG_LINES.split(", ")]
         now = dt.datetime.now(dt.timezone.utc) if self.use_clock else None
-        lines = prior.unionByName(batch.select(*names)).persist()
-        try:
-            finished, opened = split_open(lines, now, self.max_lines, self.idle_ms, self.slice_width)
-            finished.write.mode("overwrite").parquet(f"{self.output}/batch_id={batch_id}")
-            write_version(opened, self.state, batch_id)
-        finally:
-            lines.unpersist()
+        lines = prior.unionByName(batch.select(*names))
+        segmented = stage(
+            segment_entries(lines, self.max_lines, self.idle_ms, self.slice_width),
+            "segmented",
+            f"{self.state}-segmented/v={batch_id}",
+        )
+        finished, opened = split_open(segmented, now, self.max_lines, self.idle_ms)
+        finished.write.mode("overwrite").parquet(f"{self.output}/batch_id={batch_id}")
+        write_version(opened, self.state, batch_id)
 
     def start(self, lines: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return (
