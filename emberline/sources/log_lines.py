@@ -26,10 +26,12 @@ def number_text_lines(rows: DataFrame) -> DataFrame:
     """``seq`` for lines of text files: block start plus the line's place in the block.
 
     A line takes at least one byte, so numbers rise through a file without meeting the next block.
-    Ranking is per block, which the reader's split size bounds.
+    Ranking is per block, which the reader's split size bounds. Apply it right after the read (in a
+    stream: to the micro-batch), where rows are still in file order.
     """
     in_block = Window.partitionBy("source_id", "_block").orderBy("_row")
-    return rows.withColumn("seq", F.col("_block") + F.row_number().over(in_block) - 1)
+    placed = rows.withColumn("_row", F.monotonically_increasing_id())
+    return placed.withColumn("seq", F.col("_block") + F.row_number().over(in_block) - 1)
 
 
 def _text_rows(rows: DataFrame) -> DataFrame:
@@ -38,7 +40,6 @@ def _text_rows(rows: DataFrame) -> DataFrame:
         F.col("_metadata.file_name").alias("source_name"),
         F.col("_metadata.file_modification_time").alias("received_at"),
         F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
         F.col("value").alias("line"),
     )
 
@@ -60,7 +61,7 @@ def stream_log_lines(
 ) -> DataFrame:
     """The same lines as a stream; ``max_files`` bounds what one micro-batch takes in.
 
-    Text lines carry ``_block`` and ``_row`` instead of ``seq``: number them inside the batch with
+    Text lines carry ``_block`` instead of ``seq``: number them inside the batch with
     :func:`number_text_lines`.
     """
     reader = spark.readStream.option("maxFilesPerTrigger", max_files).options(**options)
