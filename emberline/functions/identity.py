@@ -7,23 +7,37 @@ from pyspark.sql import functions as F
 
 from emberline.functions.text import column, is_blank, trimmed
 
-# Scrub patterns and placeholders, applied in this order. The edges are written as
-# ASCII lookarounds because the meaning of \b differs between JVM versions.
+# What is scrubbed and its placeholder, applied in this order. Each token must stand
+# between ASCII word edges. The edge test is written as a lookaround, since the meaning of \b differs
+# between JVM versions, and behind the first character, so that other text is passed over quickly.
+# The last rule turns every white-space run into one space; a lone space needs no replacement.
 SCRUB = [
-    (r"(?<!\w)[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?!\w)", "<uuid>"),
-    (r"(?<!\w)(?:\d{1,3}\.){3}\d{1,3}(?!\w)", "<ip>"),
-    (r"(?<!\w)[a-fA-F0-9]{16,}(?!\w)", "<id>"),
-    (r"(?<!\w)\d+(?!\w)", "?"),
-    (r"\s+", " "),
+    (r"[0-9a-fA-F](?<!\w.)[0-9a-fA-F]{7}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?!\w)", "<uuid>"),
+    (r"\d(?<!\w.)\d{0,2}\.(?:\d{1,3}\.){2}\d{1,3}(?!\w)", "<ip>"),
+    (r"[a-fA-F0-9](?<!\w.)[a-fA-F0-9]{15,}(?!\w)", "<id>"),
+    (r"\d(?<!\w.)\d*(?!\w)", "?"),
+    (r"\s(?:(?<! )\s*|\s+)", " "),
 ]
 
 
+def _scrub(message: Column, rules: list[tuple[str, str]]) -> Column:
+    for pattern, placeholder in rules:
+        message = F.regexp_replace(message, pattern, placeholder)
+    return message
+
+
 def normalize_message(message: Column | str) -> Column:
-    """The message with its variable parts scrubbed; blank becomes empty."""
+    """The message with its variable parts scrubbed; blank becomes empty.
+
+    Addresses and numbers need a digit, UUIDs a digit or a dash: texts without them skip those rules.
+    """
     message = column(message)
-    scrubbed = message
-    for pattern, placeholder in SCRUB:
-        scrubbed = F.regexp_replace(scrubbed, pattern, placeholder)
+    uuid_rule, _, id_rule, _, space_rule = SCRUB
+    scrubbed = (
+        F.when(message.rlike("[0-9]"), _scrub(message, SCRUB))
+        .when(message.contains("-"), _scrub(message, [uuid_rule, id_rule, space_rule]))
+        .otherwise(_scrub(message, [id_rule, space_rule]))
+    )
     return F.when(is_blank(message), F.lit("")).otherwise(trimmed(scrubbed))
 
 

@@ -93,8 +93,10 @@ def resolve_commands(commands: DataFrame, incidents: DataFrame) -> Commands:
     """Point every command at an incident: by its id or, for ACKNOWLEDGED, by its own key.
 
     ``incidents`` needs id, fingerprint and source_id. Commands of an unknown type or incident go to
-    ``rejected``. Both lookups are equality joins on the incident id.
+    ``rejected``. Both lookups are equality joins on the incident id; commands without one get a
+    value of their own that matches nothing, so that they spread over all tasks.
     """
+    nowhere = F.concat(F.lit("none:"), F.col("seq").cast("string"))
     keys = incidents.select(
         F.col("id").alias("_id"),
         F.col("fingerprint").alias("_fingerprint"),
@@ -103,12 +105,12 @@ def resolve_commands(commands: DataFrame, incidents: DataFrame) -> Commands:
     ).dropDuplicates(["_id"])
     known_type = F.coalesce(F.col("type").isin(OPERATOR_EVENTS), F.lit(False))
     by_id = commands.join(
-        keys, known_type & (F.col("incident_id") == F.col("_id")), "left"
+        keys, known_type & (F.coalesce("incident_id", nowhere) == F.col("_id")), "left"
     )
     own_keys = keys.select(F.col("_id").alias("_own_id"), F.col("_hit").alias("_own"))
     falls_back = (F.col("type") == "ACKNOWLEDGED") & F.col("_hit").isNull() & F.col("fingerprint").isNotNull()
     looked_up = by_id.withColumn(
-        "_key", F.when(falls_back, incident_id("fingerprint", "source_id"))
+        "_key", F.when(falls_back, incident_id("fingerprint", "source_id")).otherwise(nowhere)
     ).join(own_keys, F.col("_key") == F.col("_own_id"), "left")
     hit = F.col("_hit").isNotNull()
     found = hit | F.col("_own").isNotNull()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from emberline.operators.counting import detect_anomalies
 from emberline.operators.dashboard import incident_cards, nest_samples, recent_incidents
@@ -89,6 +90,7 @@ def recent_cards(
 ) -> DataFrame:
     """Cards of the incidents seen last; samples are gathered for those incidents only."""
     recent = recent_incidents(incidents)
-    keys = recent.select(*KEY)
-    samples = incident_samples(anomalies.join(keys, KEY, "left_semi"), slice_width)
+    keys = recent.select(F.col("fingerprint").alias("_f"), F.col("source_id").alias("_s"))
+    same = (F.col("fingerprint") == F.col("_f")) & F.col("source_id").eqNullSafe(F.col("_s"))
+    samples = incident_samples(anomalies.join(keys, same, "left_semi"), slice_width)
     return incident_cards(nest_samples(recent, samples))

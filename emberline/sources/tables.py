@@ -31,6 +31,17 @@ def read_version(spark: SparkSession, path: str, version: int, schema: str) -> D
     return spark.read.schema(schema).parquet(place)
 
 
+def latest_version(spark: SparkSession, path: str) -> int:
+    """The number of the newest complete snapshot, -1 if there is none. Lists folder names only."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return -1
+    names = [status.getPath().getName() for status in files.listStatus(root)]
+    versions = [int(name.removeprefix("v=")) for name in names if name.startswith("v=")]
+    return max((v for v in versions if _exists(spark, version_path(path, v) + "/_SUCCESS")), default=-1)
+
+
 def write_version(table: DataFrame, path: str, version: int) -> DataFrame:
     """Write a snapshot and return it as read back, which cuts the lineage."""
     place = version_path(path, version)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,7 +18,7 @@ from emberline.operators.entries import assemble_entries, segment_entries
 from emberline.operators.running import DEFAULT_SLICE_WIDTH
 from emberline.schemas import IDLE_FLUSH_MS, LOG_LINES, MAX_ENTRY_LINES
 from emberline.session import stage
-from emberline.sources.tables import read_version, write_version
+from emberline.sources.tables import latest_version, read_version, write_version
 
 
 def split_open(
@@ -96,10 +96,11 @@ class EntryStream:
             .start()
         )
 
-    def flush(self, spark, last_batch_id: int) -> None:
+    def flush(self, spark: SparkSession) -> None:
         """End of the stream: write what is still open as entries, under the next batch number."""
-        opened = read_version(spark, self.state, last_batch_id, LOG_LINES)
+        last = latest_version(spark, self.state)
+        opened = read_version(spark, self.state, last, LOG_LINES)
         rest = assemble_entries(
             segment_entries(opened, self.max_lines, self.idle_ms, self.slice_width)
         )
-        rest.write.mode("overwrite").parquet(f"{self.output}/batch_id={last_batch_id + 1}")
+        rest.write.mode("overwrite").parquet(f"{self.output}/batch_id={last + 1}")

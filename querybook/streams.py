@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.sources import tables as stored
-from emberline.sources.log_lines import stream_log_lines
 from emberline.streaming.counts import CountStream, watermarked_counts
 from emberline.streaming.entries import EntryStream
 from emberline.streaming.incidents import IncidentStream, tag_records
@@ -19,50 +20,47 @@ from querybook.tables import WINDOW, shown
 PARTS = 3
 
 
-def _feed(table: DataFrame, order: str, name: str) -> str:
-    """The table as files that appear one after another in arrival order; all rows are written."""
-    spark = table.sparkSession
-    place = fresh_folder(spark, f"feed-{name}")
+def _arrivals(table: DataFrame, order: str, name: str) -> Iterator[str]:
+    """A folder that receives the table in three portions, in arrival order; yields after each.
+
+    The stream is started anew for every portion and picks up at its checkpoint.
+    """
+    place = fresh_folder(table.sparkSession, f"feed-{name}")
     last = table.agg(F.max(order)).first()[0] or 0
     part = F.expr(f"least(({order} * {PARTS}) div {last + 1}, {PARTS - 1})")
     for number in range(PARTS):
-        chosen = table.where(part <= 0) if number == 0 else table.where(part == number)
-        chosen.coalesce(1).write.mode("append").parquet(place)
-    return place
+        table.where(part == number).write.mode("append").parquet(place)
+        yield place
 
 
 def _stream(spark: SparkSession, place: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(place)
-
-
-def _last_batch(query) -> int:
-    query.awaitTermination()
-    return query.lastProgress["batchId"]
+    return spark.readStream.schema(schema).parquet(place)
 
 
 @registered(sql.query([sql.LINES, sql.entries(500, 800)], _ENTRY_COLUMNS))
 def stream_entries(spark, d):
     """Entries of a line stream, the open ones flushed at the end."""
-    place = _feed(given.log_lines(spark, d), "seq", "lines")
-    output, state = fresh_folder(spark, "entries"), fresh_folder(spark, "open-lines")
-    stream = EntryStream(output, state, use_clock=False)
-    query = stream.start(
-        stream_log_lines(spark, place, max_files=1), fresh_folder(spark, "checkpoint")
-    )
-    stream.flush(spark, _last_batch(query))
+    output, checkpoint = fresh_folder(spark, "entries"), fresh_folder(spark, "checkpoint")
+    stream = EntryStream(output, fresh_folder(spark, "open-lines"), use_clock=False)
+    lines = given.log_lines(spark, d)
+    for place in _arrivals(lines, "seq", "lines"):
+        stream.start(_stream(spark, place, lines.schema), checkpoint).awaitTermination()
+    stream.flush(spark)
     return shown(spark.read.parquet(output).drop("source_type", "batch_id"))
 
 
-def _event_stream(spark, d) -> DataFrame:
+def _event_streams(spark, d) -> Iterator[DataFrame]:
     events = given.log_events(spark, d)
-    return _stream(spark, _feed(events, "seq", "events"), events.schema)
+    for place in _arrivals(events, "seq", "events"):
+        yield _stream(spark, place, events.schema)
 
 
 @registered(sql.to_counted(_COUNTED))
 def stream_running_count(spark, d):
-    output = fresh_folder(spark, "counted")
+    output, checkpoint = fresh_folder(spark, "counted"), fresh_folder(spark, "checkpoint")
     stream = CountStream(output, fresh_folder(spark, "windows"), WINDOW)
-    stream.start(_event_stream(spark, d), fresh_folder(spark, "checkpoint")).awaitTermination()
+    for events in _event_streams(spark, d):
+        stream.start(events, checkpoint).awaitTermination()
     return _counted_columns(spark.read.parquet(output))
 
 
@@ -72,20 +70,21 @@ _TOTALS = "SELECT fingerprint, window_second, count(*) AS window_total FROM coun
 @registered(sql.to_counted(_TOTALS))
 def stream_watermarked_counts(spark, d):
     """Late events dropped by a watermark; this input has none."""
-    output = fresh_folder(spark, "watermarked")
-    counts = watermarked_counts(_event_stream(spark, d), WINDOW)
+    output, checkpoint = fresh_folder(spark, "watermarked"), fresh_folder(spark, "checkpoint")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
 
-    query = (
-        counts.writeStream.outputMode("update")
-        .foreachBatch(write)
-        .option("checkpointLocation", fresh_folder(spark, "checkpoint"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    for events in _event_streams(spark, d):
+        query = (
+            watermarked_counts(events, WINDOW)
+            .writeStream.outputMode("update")
+            .foreachBatch(write)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
     return (
         spark.read.parquet(output)
         .groupBy("fingerprint", F.unix_seconds("window_start").alias("window_second"))
@@ -101,16 +100,17 @@ def stateful_running_count(spark, d):
     spark.conf.set(
         provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     )
-    output = fresh_folder(spark, "stateful")
+    output, checkpoint = fresh_folder(spark, "stateful"), fresh_folder(spark, "checkpoint")
     try:
-        query = (
-            stateful_counts(_event_stream(spark, d), WINDOW)
-            .writeStream.format("parquet")
-            .option("checkpointLocation", fresh_folder(spark, "checkpoint"))
-            .trigger(availableNow=True)
-            .start(output)
-        )
-        query.awaitTermination()
+        for events in _event_streams(spark, d):
+            query = (
+                stateful_counts(events, WINDOW)
+                .writeStream.format("parquet")
+                .option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True)
+                .start(output)
+            )
+            query.awaitTermination()
     finally:
         if before is None:
             spark.conf.unset(provider)
@@ -128,11 +128,9 @@ def stream_incidents(spark, d):
     """Anomalies and commands folded batch by batch onto stored incidents."""
     records = tag_records(given.summarised_anomalies(spark, d), given.commands(spark, d))
     ordered = records.withColumn("seq", F.coalesce("anomaly.seq", "command.seq"))
-    place = _feed(ordered, "seq", "records")
-    folder = fresh_folder(spark, "incident-stream")
+    folder, checkpoint = fresh_folder(spark, "incident-stream"), fresh_folder(spark, "checkpoint")
     stream = IncidentStream(f"{folder}/incidents", f"{folder}/events", f"{folder}/rejected")
-    query = stream.start(
-        _stream(spark, place, ordered.schema), fresh_folder(spark, "checkpoint")
-    )
-    last = _last_batch(query)
+    for place in _arrivals(ordered, "seq", "records"):
+        stream.start(_stream(spark, place, ordered.schema), checkpoint).awaitTermination()
+    last = stored.latest_version(spark, f"{folder}/incidents")
     return shown(stored.read_incidents(spark, f"{folder}/incidents", last).drop("tags"))

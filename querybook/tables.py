@@ -101,12 +101,15 @@ def commands_of_events(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     value = F.col("value")
     source = _text("c-", F.col("user_id").cast("string"))
-    shape = _text(
-        "2024-01-01 00:00:00,000 ERROR [",
-        _module(),
-        "] request failed user=1\n    at app.",
-        _module(),
-        ".Handler.run(Handler.java:1)\nCaused by: java.lang.IllegalStateException: code 1",
+    shape = (
+        "2024-01-01 00:00:00,000 ERROR [{0}] request failed user=1\n    at app.{0}.Handler.run(Handler.java:1)\n"
+        "Caused by: java.lang.IllegalStateException: code 1"
+    )
+    target = {name: fingerprint_of(F.lit(shape.format(name))) for name in ("auth", "billing", "search")}
+    fingerprint = (
+        F.when(_module() == "auth", target["auth"])
+        .when(_module() == "billing", target["billing"])
+        .otherwise(target["search"])
     )
     event = F.col("event_id").cast("string")
     base = events.where(kind != "error").select(
@@ -115,7 +118,7 @@ def commands_of_events(events: DataFrame) -> DataFrame:
         "value",
         F.col("ts").cast("timestamp").alias("ts"),
         source.alias("source_id"),
-        fingerprint_of(shape).alias("fingerprint"),
+        fingerprint.alias("fingerprint"),
     )
     by_id_only = (kind == "view") & (value < 15)
     return base.select(
