@@ -49,6 +49,13 @@ def write_version(table: DataFrame, path: str, version: int) -> DataFrame:
     return table.sparkSession.read.schema(table.schema).parquet(place)
 
 
+def drop_old_version(spark: SparkSession, path: str, version: int, keep: int = 3) -> None:
+    """Remove the snapshot that ``keep`` newer ones have replaced; a retry needs only the last."""
+    if version >= keep:
+        old = spark._jvm.org.apache.hadoop.fs.Path(version_path(path, version - keep))
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def read_incidents(spark: SparkSession, path: str, version: int) -> DataFrame:
     return read_version(spark, path, version, INCIDENTS)
 

@@ -15,7 +15,7 @@ from emberline.functions.times import event_or_ingest_time
 from emberline.operators.counting import GROUP, with_window
 from emberline.operators.running import DEFAULT_SLICE_WIDTH, Track, running
 from emberline.schemas import RETAINED_WINDOWS, WINDOW_SECONDS
-from emberline.sources.tables import read_version, write_version
+from emberline.sources.tables import drop_old_version, read_version, write_version
 
 STATE = "fingerprint string, window_start timestamp, window_total bigint"
 
@@ -65,12 +65,24 @@ def evict(totals: DataFrame, window_seconds: int) -> DataFrame:
     )
 
 
+def expire(totals: DataFrame, ttl_seconds: int) -> DataFrame:
+    """Forget windows, and with them idle fingerprints, this much older than the newest window."""
+    newest = totals.agg(F.max("window_start")).first()[0]
+    if newest is None:
+        return totals
+    age = F.unix_seconds(F.lit(newest)) - F.unix_seconds("window_start")
+    return totals.where(age <= ttl_seconds)
+
+
 @dataclass(frozen=True)
 class CountStream:
+    """``ttl_seconds`` bounds the state; without it no fingerprint is ever forgotten."""
+
     output: str
     state: str
     window_seconds: int = WINDOW_SECONDS
     slice_width: int = DEFAULT_SLICE_WIDTH
+    ttl_seconds: int | None = None
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         prior = read_version(batch.sparkSession, self.state, batch_id - 1, STATE)
@@ -78,7 +90,10 @@ class CountStream:
         try:
             counted, state = count_batch(prior, events, self.window_seconds, self.slice_width)
             counted.write.mode("overwrite").parquet(f"{self.output}/batch_id={batch_id}")
+            if self.ttl_seconds is not None:
+                state = expire(state, self.ttl_seconds)
             write_version(state, self.state, batch_id)
+            drop_old_version(batch.sparkSession, self.state, batch_id)
         finally:
             events.unpersist()
 

@@ -18,7 +18,12 @@ from emberline.operators.entries import assemble_entries, segment_entries
 from emberline.operators.running import DEFAULT_SLICE_WIDTH
 from emberline.schemas import IDLE_FLUSH_MS, LOG_LINES, MAX_ENTRY_LINES
 from emberline.session import stage
-from emberline.sources.tables import latest_version, read_version, write_version
+from emberline.sources.tables import (
+    drop_old_version,
+    latest_version,
+    read_version,
+    write_version,
+)
 
 
 def split_open(
@@ -87,6 +92,8 @@ class EntryStream:
         finished, opened = split_open(segmented, now, self.max_lines, self.idle_ms)
         finished.write.mode("overwrite").parquet(f"{self.output}/batch_id={batch_id}")
         write_version(opened, self.state, batch_id)
+        for path in (self.state, f"{self.state}-segmented"):
+            drop_old_version(spark, path, batch_id)
 
     def start(self, lines: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return (

@@ -10,7 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from emberline.plans.pipeline import incidents_of
 from emberline.operators.running import DEFAULT_SLICE_WIDTH
-from emberline.sources.tables import append_incident_events, read_incidents, write_version
+from emberline.sources.tables import (
+    append_incident_events,
+    drop_old_version,
+    read_incidents,
+    write_version,
+)
 
 
 def tag_records(anomalies: DataFrame, commands: DataFrame) -> DataFrame:
@@ -40,6 +45,7 @@ class IncidentStream:
             append_incident_events(outcome.fold.events, self.events, batch_id)
             outcome.rejected.write.mode("overwrite").parquet(f"{self.rejected}/batch_id={batch_id}")
             write_version(outcome.fold.incidents, self.incidents, batch_id)
+            drop_old_version(spark, self.incidents, batch_id)
         finally:
             rows.unpersist()
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from emberline.operators.entries import log_entries, segment_entries
 from emberline.schemas import LOG_LINES
 from emberline.sources import tables as stored
-from emberline.streaming.counts import STATE, CountStream, count_batch
+from emberline.streaming.counts import STATE, CountStream, count_batch, expire
 from emberline.streaming.entries import EntryStream, split_open
 from emberline.streaming.incidents import IncidentStream, tag_records
 from emberline.streaming.stateful import stateful_running_count
@@ -82,6 +82,13 @@ def test_late_event_within_retention_is_counted(spark):
     assert results == [1, 1, 2]
 
 
+def test_idle_fingerprints_expire(spark):
+    rows = [("old", "a", "INFO", 0, 0), ("new", "a", "INFO", 600, 1), ("new", "a", "INFO", 300, 2)]
+    _, state = count_batch(spark.createDataFrame([], STATE), make_events(spark, rows), 60)
+    kept = [(r.fingerprint, r.window_total) for r in expire(state, 300).collect()]
+    assert sorted(kept) == [("new", 1), ("new", 1)]
+
+
 def test_stateful_counts_apply_the_rule_per_event(spark, folder):
     rows = [("fp", "a", "INFO", s, n) for n, s in enumerate([0, 60, 120, 180, 0, 185])]
     make_events(spark, rows).coalesce(1).write.parquet(f"{folder}/in")
@@ -112,6 +119,10 @@ def test_incidents_over_batches(spark, folder):
     events = stored.read_incident_events(spark, f"{folder}/e").orderBy("seq").collect()
     assert [(r.type, r.seq) for r in events] == [("CREATED", 0), ("RESOLVED", 10)]
     assert [r.seq for r in spark.read.parquet(f"{folder}/r").collect()] == [11]
+    assert stored.latest_version(spark, f"{folder}/i") == 2
+    stored.drop_old_version(spark, f"{folder}/i", 3)
+    assert stored.read_incidents(spark, f"{folder}/i", 0).count() == 0
+    assert stored.read_incidents(spark, f"{folder}/i", 1).count() == 1
 
 
 def test_stream_uses_its_checkpoint(spark, folder):
