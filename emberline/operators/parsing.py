@@ -18,9 +18,8 @@ _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 def is_json_candidate(message: Column | str) -> Column:
     """The message, without surrounding control characters and spaces, is wrapped in braces."""
-    return F.coalesce(
-        column(message).rlike(r"(?s)^[\x00-\x20]*\{.*\}[\x00-\x20]*\z"), F.lit(False)
-    )
+    text = trimmed(message)
+    return F.coalesce(text.startswith("{") & text.endswith("}"), F.lit(False))
 
 
 def json_fields(message: Column | str) -> Column:
@@ -37,7 +36,9 @@ def json_fields(message: Column | str) -> Column:
     in_object = F.from_json(
         F.concat(F.lit('{"x":'), message, F.lit("}")), "map<string,map<string,string>>", _STRICT
     )
-    single = F.when(F.size(in_array) == 1, F.get(in_array, F.lit(0)))
+    # Through a one-element array, so that the text is read once for the test and the value.
+    lone = F.filter(F.array(in_array), lambda values: F.size(values) == 1)
+    single = F.get(F.get(lone, F.lit(0)), F.lit(0))
     return F.when(
         is_json_candidate(message),
         F.when(message.contains("]") & F.coalesce(F.size(in_object) != 1, F.lit(True)), None).otherwise(single),

@@ -40,8 +40,8 @@ def test_entries_of_batches_equal_entries_of_the_whole(spark, folder):
     stream = EntryStream(f"{folder}/out", f"{folder}/open", max_lines=4, idle_ms=800, use_clock=False)
     cuts = [0, 9, 10, 30, len(rows)]
     for batch, (low, high) in enumerate(zip(cuts, cuts[1:])):
-        stream.process(make_lines(spark, rows[low:high]), batch)
-        stream.process(make_lines(spark, rows[low:high]), batch)  # a retry changes nothing
+        for _ in range(2 if batch == 1 else 1):  # a retry changes nothing
+            stream.process(make_lines(spark, rows[low:high]), batch)
     stream.flush(spark)
     found = sorted((r.source_id, r.entry_seq, r.message) for r in spark.read.parquet(f"{folder}/out").collect())
     whole = log_entries(make_lines(spark, rows), 4, 800)
@@ -52,7 +52,7 @@ def test_counts_continue_over_batches_and_retries(spark, folder):
     rows = [("fp" if n % 3 else "other", "a", "ERROR", n % 50, n) for n in range(60)]
     stream = CountStream(f"{folder}/out", f"{folder}/state", 60)
     for batch in range(3):
-        for _ in range(2):
+        for _ in range(2 if batch == 1 else 1):
             stream.process(make_events(spark, rows[batch * 20 : batch * 20 + 20]), batch)
     found = {r.seq: r.window_count for r in spark.read.parquet(f"{folder}/out").collect()}
     seen, expected = {}, {}
@@ -112,8 +112,8 @@ def test_incidents_over_batches(spark, folder):
     for batch, (low, high) in enumerate([(0, 5), (5, 15), (15, 99)]):
         chosen = (F.col("seq") >= low) & (F.col("seq") < high)
         records = tag_records(anomalies.where(chosen), commands.where(chosen))
-        stream.process(records, batch)
-        stream.process(records, batch)
+        for _ in range(2 if batch == 1 else 1):
+            stream.process(records, batch)
     row = stored.read_incidents(spark, f"{folder}/i", 2).first()
     assert (row.status, row.total_occurrences, row.regression_count, row.ai_title) == ("REGRESSED", 67, 1, "A")
     events = stored.read_incident_events(spark, f"{folder}/e").orderBy("seq").collect()
