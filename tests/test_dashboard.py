@@ -180,10 +180,10 @@ def anomaly(spark, **changes):
 
 
 def test_notification(spark):
-    settings = NotificationSettings(to="a@x.org, b@x.org", subject_prefix="[Guardian]")
+    settings = NotificationSettings(to="a@x.org, b@x.org", subject_prefix="[Alerts]")
     mail = build_notifications(anomaly(spark), settings).first()
     assert mail.recipients == ["a@x.org", "b@x.org"]
-    assert mail.subject == "[Guardian] [HIGH] ERROR anomaly in payments-api"
+    assert mail.subject == "[Alerts] [HIGH] ERROR anomaly in payments-api"
     for text in ("- Title: Title", "What\nhappened", "- Fingerprint: fp", "<boom>", "- Detected at (UTC): 2026-03-24T12:00:00Z"):
         assert text in mail.text_body
     assert "What<br/>happened" in mail.html_body and "&lt;boom&gt;" in mail.html_body
