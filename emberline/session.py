@@ -27,23 +27,22 @@ def build_session(app_name: str = "emberline", master: str | None = None, **extr
     return builder.getOrCreate()
 
 
-_local_fallback: str | None = None
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor can reach, as named by ``spark.checkpoint.dir``."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors can reach")
+    return configured.rstrip("/")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
+def use_scratch_dir(spark: SparkSession) -> None:
+    """For tests, benches and other runs in one process: set the shared folder if it is unset.
 
-    Only a local master may run without that setting; it then gets one temporary folder per process.
+    A cluster has no folder that this could choose, so there the setting must exist.
     """
-    global _local_fallback
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors can reach")
-    if _local_fallback is None:
-        _local_fallback = tempfile.mkdtemp(prefix="emberline-")
-    return _local_fallback
+    local = spark.sparkContext.master.split("[")[0] == "local"
+    if local and not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="emberline-"))
 
 
 def stage(table: DataFrame, name: str, path: str | None = None) -> DataFrame:

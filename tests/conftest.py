@@ -8,7 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark():
-    from emberline.session import build_session
+    from emberline.session import build_session, use_scratch_dir
 
     session = build_session(
         "emberline-tests",
@@ -23,6 +23,7 @@ def spark():
         },
     )
     session.sparkContext.setLogLevel("ERROR")
+    use_scratch_dir(session)
     yield session
 
 
