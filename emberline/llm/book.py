@@ -12,6 +12,7 @@ from emberline.llm import (
     byte_bpe,
     decontamination,
     near_duplicates,
+    pitman_yor,
     private_data,
     quality_classifier,
     quality_rules,
@@ -36,6 +37,10 @@ URL_RULES = [
 ]
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(documents(spark, sf_dir))
+
+
 def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.report(documents(spark, sf_dir))
 
@@ -82,6 +87,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_BOOK: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_pitman_yor": (op1_pitman_yor, None),
     "op2_private_data": (op2_private_data, None),
     "op3_near_duplicates": (op3_near_duplicates, None),
     "op4_byte_bpe": (op4_byte_bpe, None),

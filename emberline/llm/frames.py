@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,25 +33,45 @@ def unused(frame: DataFrame, name: str) -> str:
     return name
 
 
-def per_text(
-    docs: DataFrame, id_col: str, text_col: str, schema: str, compute: Callable[[], Callable[[str], tuple]]
+ARROW = {
+    "bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(),
+    "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
+}
+
+
+def per_batch(
+    docs: DataFrame, id_col: str, text_col: str, schema: str, compute: Callable[[], Callable[[list[str]], Iterator[list[tuple]]]]
 ) -> DataFrame:
-    """One output row per input row: the id, then what ``compute()`` makes of the text.
+    """One output row per input row: the id, then the columns of ``schema``.
 
-    ``compute`` runs once per task and returns the function for one text, so that tables are built
-    once. Only two columns leave the scan, whatever else the input holds, and null texts are empty.
+    ``compute`` runs once per task and returns the function from the texts of a batch to runs of rows,
+    in order. Only two columns leave the scan, whatever else the input holds; null texts are empty, and
+    ids of any type, null or not, pass through as they are.
     """
-    names = [part.split()[0] for part in schema.split(",")]
+    fields = [part.split() for part in schema.split(", ")]
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one = compute()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = compute()
         for batch in batches:
-            rows = [one(text or "") for text in batch["_text"]]
-            columns = list(zip(*rows)) if rows else [[] for _ in names]
-            frame = {"_id": batch["_id"]}
-            frame.update({name: list(column) for name, column in zip(names, columns)})
-            yield pd.DataFrame(frame)
+            start = 0
+            for rows in made([text or "" for text in batch.column("_text").to_pylist()]):
+                ids = batch.column("_id").slice(start, len(rows))
+                start += len(rows)
+                columns = [pa.array([row[i] for row in rows], ARROW[kind]) for i, (_, kind) in enumerate(fields)]
+                yield pa.RecordBatch.from_arrays([ids, *columns], ["_id", *[name for name, _ in fields]])
 
     pairs = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    return pairs.mapInPandas(run, f"_id {id_type}, {schema}").withColumnRenamed("_id", id_col)
+    return pairs.mapInArrow(run, f"_id {id_type}, {schema}").withColumnRenamed("_id", id_col)
+
+
+def per_text(
+    docs: DataFrame, id_col: str, text_col: str, schema: str, compute: Callable[[], Callable[[str], tuple]]
+) -> DataFrame:
+    """``per_batch`` for a function of one text."""
+
+    def whole():
+        one = compute()
+        return lambda texts: iter([[one(text) for text in texts]])
+
+    return per_batch(docs, id_col, text_col, schema, whole)

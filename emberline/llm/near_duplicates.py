@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.frames import unused, utf8
+from emberline.llm.frames import per_batch, unused, utf8
 from emberline.session import stage
 
 WORDS = 5
@@ -140,34 +140,33 @@ def key_of(text: Column) -> Column:
 
 def banded(docs: DataFrame, id_col: str, text_col: str, bands: int, size: int) -> DataFrame:
     """(id, key, bands): an empty array for texts without words."""
-    id_type = docs.schema[id_col].dataType.simpleString()
     text = F.col(f"`{text_col}`")
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), key_of(text).alias("key"), text.alias("text"))
+    rows = docs.select(F.struct(F.col(f"`{id_col}`").alias("id"), key_of(text).alias("key")).alias("row"), text.alias("text"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compute():
         shingle = Shingler()
-        for frame in frames:
-            keys: list[list[int]] = []
-            waiting: list[tuple[np.ndarray, np.ndarray] | None] = []
-            held = 0
-
-            def flush() -> None:
-                bags = [bag for bag in waiting if bag is not None]
-                found = iter(band_keys(signatures(bags, bands * size), bands, size).view(np.int64) if bags else ())
-                keys.extend([] if bag is None else next(found).tolist() for bag in waiting)
-                waiting.clear()
 
-            for text in frame["text"]:
+        def run(texts: list[str]) -> Iterator[list[tuple]]:
+            waiting: list[tuple[np.ndarray, np.ndarray]] = []
+            held = 0
+            for text in texts:
                 bag = shingle(text)
-                waiting.append(bag if len(bag[0]) else None)
+                waiting.append(bag)
                 held += len(bag[0])
                 if held > BATCH_SHINGLES or len(waiting) >= 2_000:
-                    flush()
-                    held = 0
-            flush()
-            yield pd.DataFrame({"id": frame["id"], "key": frame["key"], "bands": keys})
+                    yield keyed(waiting)
+                    waiting, held = [], 0
+            if waiting:
+                yield keyed(waiting)
+
+        def keyed(bags: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple]:
+            full = [bag for bag in bags if len(bag[0])]
+            found = iter(band_keys(signatures(full, bands * size), bands, size).view(np.int64).tolist() if full else [])
+            return [(next(found) if len(bag[0]) else [],) for bag in bags]
+
+        return run
 
-    return rows.mapInPandas(run, f"id {id_type}, key binary, bands array<bigint>")
+    return per_batch(rows, "row", "text", "bands array<bigint>", compute).select("row.id", "row.key", "bands")
 
 
 def bags_of(texts: DataFrame) -> DataFrame:
