@@ -34,24 +34,21 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def seeds_of(words: Column, masks: tuple[str, ...] = MASKS) -> Column:
-    """One array: the seeds of every position under the first mask, then under the next."""
-    starts = F.sequence(F.lit(0), F.size(words) - SPAN)
-
-    def under(number: int, mask: str) -> Column:
-        places = [i for i, sign in enumerate(mask) if sign == "1"]
-        return F.transform(
-            starts, lambda p: F.xxhash64(F.lit(number), *[F.get(words, p + place) for place in places])
-        )
-
-    return F.concat(*[under(number, mask) for number, mask in enumerate(masks)])
+def seed_at(words: Column, at: Column, number: int, mask: str) -> Column:
+    """Hash of the words under the ones of a mask that starts at a position."""
+    return F.xxhash64(F.lit(number), *[F.get(words, at + i) for i, sign in enumerate(mask) if sign == "1"])
 
 
 def seed_rows(texts: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """(``*``, ``words``) to one row per position and mask, with ``at`` and ``seed``."""
+    """(``*``, ``words``) to one row per position and mask, with ``at`` and ``seed``.
+
+    Positions are exploded and hashed as plain columns, not inside a function over the array, so that
+    the whole way from the words to the join is generated code.
+    """
     long = texts.where(F.size("words") >= SPAN)
-    rows = long.select("*", F.posexplode(seeds_of(F.col("words"), masks)).alias("_n", "seed"))
-    return rows.withColumn("at", F.col("_n") % (F.size("words") - (SPAN - 1))).drop("_n")
+    placed = long.select("*", F.explode(F.sequence(F.lit(0), F.size("words") - SPAN)).alias("at"))
+    seeds = F.array(*[seed_at(F.col("words"), F.col("at"), number, mask) for number, mask in enumerate(masks)])
+    return placed.select("*", F.explode(seeds).alias("seed"))
 
 
 def overlap(left: Column, left_at: Column, right: Column, right_at: Column, around: int = AROUND) -> Column:
@@ -94,7 +91,10 @@ def find_leaks(
     scored = hits.select(
         "_id", "_item", overlap(F.col("words"), F.col("at"), F.col("_item_words"), F.col("_item_at")).alias("overlap")
     )
-    found = scored.where(F.col("overlap") >= min_overlap).groupBy("_id", "_item").agg(F.max("overlap").alias("overlap"))
+    # the score is filtered after it is aggregated: as a condition of the join it would take positions
+    # and join out of the generated code, and write a text's words once per position
+    best = scored.groupBy("_id", "_item").agg(F.max("overlap").alias("overlap"))
+    found = best.where(F.col("overlap") >= min_overlap)
     return found.select(F.col("_id").alias(id_col), F.col("_item").alias(item_id_col), F.col("overlap").cast("bigint").alias("overlap"))
 
 
