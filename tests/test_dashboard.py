@@ -59,9 +59,18 @@ def ids(frame):
 
 
 def test_ranking(cards):
-    ranked = D.rank_incidents(cards).collect()
+    ranked = sorted(D.rank_incidents(cards).collect(), key=lambda row: row.position)
     assert [(r.id, r.priority_score, r.position) for r in ranked] == [("i4", 34, 1), ("i2", 30, 2), ("i1", 15, 3), ("i3", 4, 4)]
-    assert ids(D.rank_incidents(cards, -1)) == []
+    assert ids(D.rank_incidents(cards, -1)) == [] and sorted(ids(D.rank_incidents(cards, 2))) == ["i2", "i4"]
+
+
+def test_ranking_keeps_every_card(spark):
+    many = spark.range(40).select(
+        F.format_string("i%02d", "id").alias("id"), F.lit("LOW").alias("severity"), F.lit("OPEN").alias("status"),
+        F.timestamp_seconds("id").alias("last_seen_at"),
+    )
+    ranked = {row.id: row.position for row in D.rank_incidents(many.repartition(7)).collect()}
+    assert ranked == {f"i{n:02d}": 40 - n for n in range(40)}
 
 
 def test_filters(cards, sources):
@@ -122,20 +131,15 @@ def test_metrics_and_insights(cards, sources, jobs):
     kept = D.filter_runtimes(runtimes, views, view)
     tiles = D.filtered_metrics(metrics, kept, D.filter_jobs(jobs, view), D.filter_incidents(cards, view), view)
     assert [tuple(r) for r in tiles.collect()] == [
-        ("Connected runtimes", 2, "1 visible in current view"),
-        ("Active tail jobs", 2, "1 shown after filters"),
-        ("Open incidents", 2, "0 open in focus"),
-        ("Visible incidents", 0, "Filtered tactical queue"),
+        ("connected_runtimes", 2, 1, True), ("active_jobs", 2, 1, True),
+        ("open_incidents", 2, 0, True), ("visible_incidents", 0, 0, True),
     ]
-    texts = {r.kicker: (r.title, r.body) for r in D.dashboard_insights(kept, cards, metrics).collect()}
-    assert texts["Runtime focus"] == ("DOCKER", "1/2 sources actively tailed in the busiest runtime.")
-    assert texts["Coverage"][0] == "1 active tails across 2 running sources"
-    assert texts["Priority queue"] == ("Crash", "2 high-severity incidents in queue. Most urgent source: named.")
-    empty = D.dashboard_insights(kept.limit(0), cards.limit(0), D.overview_metrics(runtimes.limit(0), jobs, cards))
-    texts = {r.kicker: r.title for r in empty.collect()}
-    assert texts == {"Runtime focus": "No active runtime", "Coverage": "No runtimes connected", "Priority queue": "No incident pressure"}
-    chips = {r.key: (r.label, r["count"]) for r in D.runtime_filter_counts(runtimes, kept).collect()}
-    assert chips == {"all": ("All runtimes", 1), "docker": ("DOCKER", 1), "k8s": ("K8S", 0)}
+    found = D.dashboard_insights(kept, cards).first()
+    assert tuple(found) == ("docker", 1, 2, 1, 2, "Crash", "named", 2)
+    empty = D.dashboard_insights(kept.limit(0), cards.limit(0)).first()
+    assert (empty.busiest_runtime, empty.running_sources, empty.urgent_title, empty.high_incidents) == (None, 0, None, 0)
+    chips = {r.key: r["count"] for r in D.runtime_filter_counts(runtimes, kept).collect()}
+    assert chips == {"all": 1, "docker": 1, "k8s": 0}
 
 
 def test_overlay(cards):
@@ -145,6 +149,39 @@ def test_overlay(cards):
     }
 
 
+def test_counts_follow_an_overlay(cards):
+    updated = cards.where("id = 'i2'").withColumn("status", F.lit("OPEN"))
+    assert tuple(D.card_metrics(cards).first()) == (2, 4)
+    assert tuple(D.card_metrics(D.overlay_incidents(cards, updated)).first()) == (3, 4)
+
+
+def test_search_covers_every_sample(spark):
+    """1500 samples of one incident; a text is found in any of them, and across two of them."""
+    schema = (
+        "id string, fingerprint string, source_id string, source_name string, severity string, status string, "
+        "last_seen_at timestamp, sample_message string"
+    )
+    rows = [("i1", "f", "s", "web", "HIGH", "OPEN", T0, None), ("i2", "g", "t", None, None, None, T0, " "), ("i3", "h", "u", "api", "LOW", "CLOSED", T0, "own")]
+    incidents = spark.createDataFrame(rows, schema)
+    samples = spark.range(1, 1501).select(
+        F.lit("f").alias("fingerprint"), F.lit("s").alias("source_id"),
+        F.format_string("sample <%d>", "id").alias("sample"), F.col("id").alias("position"),
+    )
+
+    def found(search, **more):
+        return sorted(ids(D.find_incidents(incidents, samples, View(search=search, **more))))
+
+    assert found("Sample <1400>") == ["i1"] and found("<999>") == ["i1"] and found("<1501>") == []
+    assert found("<1400>\nsample <1401>") == ["i1"]
+    assert found("OWN") == ["i2", "i3"] and found("no sample") == ["i2"] and found("container inc") == ["i2"]
+    assert found("<3>", severity="LOW") == [] and found("", status="OPEN") == ["i1", "i2"] and found("t") == ["i2"]
+    card = D.find_incidents(incidents, samples, View(search="<1400>")).first()
+    assert card.summary.count("\n") == 1499
+    for search in ("Sample <1400>", "OWN", "web", "open", "unknown", "u", "no sample", ""):
+        every = D.incident_cards(D.nest_samples(incidents, samples))
+        assert found(search) == sorted(ids(D.filter_incidents(every, View(search=search)))), search
+
+
 def test_cards_from_incidents(spark):
     rows = [
         ("i1", "f", "s", None, None, None, T0, "x" * 130),
@@ -160,12 +197,12 @@ def test_cards_from_incidents(spark):
         [("h", "s", f"sample {n}", n) for n in range(1, 6)],
         "fingerprint string, source_id string, sample string, position bigint",
     )
-    nested = D.nest_samples(incidents, samples, max_samples=2)
+    nested = D.nest_samples(incidents, samples)
     found = {r.id: r for r in D.incident_cards(nested).collect()}
     assert found["i1"].title == "x" * 117 + "..." and found["i1"].source_name == "s"
     assert (found["i1"].severity, found["i1"].status) == ("UNKNOWN", "OPEN")
     assert (found["i2"].title, found["i2"].summary) == ("Container incident", "No sample logs available")
-    assert (found["i3"].title, found["i3"].summary) == ("sample 1", "sample 1\nsample 2")
+    assert (found["i3"].title, found["i3"].summary) == ("sample 1", "\n".join(f"sample {n}" for n in range(1, 6)))
     assert {r.id: r.sample_count for r in nested.collect()} == {"i1": 1, "i2": 0, "i3": 5}
     assert len(ids(D.recent_incidents(incidents, 2))) == 2 and ids(D.recent_incidents(incidents, -1)) == []
 
