@@ -1,99 +1,83 @@
 """Running counts over a stream of events.
 
-Late events are counted: state holds a total per (fingerprint, window) and no watermark drops rows.
+Late events are counted: state holds a total per (fingerprint, window) and no watermark drops rows. A
+window that the late rule has dropped counts from one again, as in a batch run.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from emberline.functions.times import event_or_ingest_time
-from emberline.operators.counting import GROUP, with_window
-from emberline.operators.running import DEFAULT_SLICE_WIDTH, Track, running
-from emberline.schemas import RETAINED_WINDOWS, WINDOW_SECONDS
-from emberline.sources.tables import drop_old_version, read_version, write_version
+from emberline.operators.counting import STATE, count_by_arrival, with_window
+from emberline.operators.running import DEFAULT_SLICE_WIDTH
+from emberline.schemas import STATE_TTL_SECONDS, WINDOW_SECONDS
+from emberline.sources.tables import KeyedTable
 
-STATE = "fingerprint string, window_start timestamp, window_total bigint"
+HELD = f"{STATE}, seen_at timestamp"
 
 
 def count_batch(
     state: DataFrame, events: DataFrame, window_seconds: int, slice_width: int = DEFAULT_SLICE_WIDTH
 ) -> tuple[DataFrame, DataFrame]:
-    """(events with ``window_count``, next state). The state row of a group precedes its events."""
-    rows = with_window(events, window_seconds).select(
-        "*", F.lit(1).cast("bigint").alias("_weight"), F.lit(False).alias("_stored")
-    )
-    stored = state.select(*GROUP, F.col("window_total").alias("_weight"), F.lit(True).alias("_stored"))
-    both = rows.unionByName(stored, allowMissingColumns=True)
-    counted = running(
-        both,
-        GROUP,
-        ["seq", "source_id"],
-        [Track("window_count", "sum", F.col("_weight"))],
-        slice_width,
-    )
-    totals = both.groupBy(*GROUP).agg(
-        F.sum("_weight").alias("window_total"), F.max(F.col("seq")).alias("_last_seq")
-    )
-    return (
-        counted.where(~F.col("_stored")).drop("_weight", "_stored"),
-        evict(totals, window_seconds),
-    )
+    """(events with ``window_count``, the windows held after them), by the late rule per event.
 
+    The rule follows the order of arrival, so the counts don't depend on where batches are cut.
+    """
+    return count_by_arrival(with_window(events, window_seconds), window_seconds, slice_width, state)
 
-def evict(totals: DataFrame, window_seconds: int) -> DataFrame:
-    """Forget old windows of fingerprints that hold more than the retained number.
 
-    Old means more than two windows before the one that received the latest event.
-    """
-    own = Window.partitionBy("fingerprint")
-    latest = F.max_by("window_start", "_last_seq").over(own)
-    oldest = F.unix_seconds(latest) - F.lit(max(1, window_seconds) * RETAINED_WINDOWS)
-    return (
-        totals.withColumn("_windows", F.count(F.lit(1)).over(own))
-        .withColumn("_oldest", oldest)
-        .where(
-            (F.col("_windows") <= RETAINED_WINDOWS + 1)
-            | F.col("_oldest").isNull()
-            | (F.unix_seconds("window_start") >= F.col("_oldest"))
-        )
-        .select(*GROUP, "window_total")
+def with_last_seen(held: DataFrame, before: DataFrame, events: DataFrame) -> DataFrame:
+    """The windows held, each with the last arrival of an event of its fingerprint."""
+    seen = (
+        events.select("fingerprint", F.col("ingest_time").alias("seen_at"))
+        .unionByName(before.select("fingerprint", "seen_at"))
+        .groupBy(F.col("fingerprint").alias("_f"))
+        .agg(F.max("seen_at").alias("seen_at"))
     )
+    return held.join(seen, F.col("fingerprint").eqNullSafe(F.col("_f")), "left").drop("_f")
 
 
-def expire(totals: DataFrame, ttl_seconds: int) -> DataFrame:
-    """Forget windows, and with them idle fingerprints, this much older than the newest window."""
-    newest = totals.agg(F.max("window_start")).first()[0]
-    if newest is None:
-        return totals
-    age = F.unix_seconds(F.lit(newest)) - F.unix_seconds("window_start")
-    return totals.where(age <= ttl_seconds)
+def expire(held: DataFrame, now: Column, ttl_seconds: int) -> DataFrame:
+    """Forget fingerprints of which nothing has arrived for so long. Event times have no part in it."""
+    age = F.unix_seconds(now) - F.unix_seconds("seen_at")
+    return held.where(F.coalesce(age <= ttl_seconds, F.lit(True)))
 
 
 @dataclass(frozen=True)
 class CountStream:
-    """``ttl_seconds`` bounds the state; without it no fingerprint is ever forgotten."""
+    """Running counts batch by batch; the state is a table in buckets by fingerprint.
+
+    ``ttl_seconds`` bounds the state: a fingerprint is forgotten when its bucket is next rewritten
+    that long after its last arrival.
+    """
 
     output: str
     state: str
     window_seconds: int = WINDOW_SECONDS
     slice_width: int = DEFAULT_SLICE_WIDTH
-    ttl_seconds: int | None = None
+    ttl_seconds: int = STATE_TTL_SECONDS
+    buckets: int = 64
+
+    @property
+    def table(self) -> KeyedTable:
+        return KeyedTable(self.state, HELD, ("fingerprint",), self.buckets)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        prior = read_version(batch.sparkSession, self.state, batch_id - 1, STATE)
+        spark = batch.sparkSession
         events = batch.persist()
         try:
-            counted, state = count_batch(prior, events, self.window_seconds, self.slice_width)
+            touched = self.table.touched(events)
+            prior = self.table.read(spark, batch_id - 1, touched)
+            counted, held = count_batch(prior, events, self.window_seconds, self.slice_width)
             counted.write.mode("overwrite").parquet(f"{self.output}/batch_id={batch_id}")
-            if self.ttl_seconds is not None:
-                state = expire(state, self.ttl_seconds)
-            write_version(state, self.state, batch_id)
-            drop_old_version(batch.sparkSession, self.state, batch_id)
+            now = F.lit(events.agg(F.max("ingest_time")).first()[0]).cast("timestamp")
+            state = expire(with_last_seen(held, prior, events), now, self.ttl_seconds)
+            self.table.write(state, batch_id, touched)
         finally:
             events.unpersist()
 
