@@ -45,20 +45,32 @@ def rollup_incidents(anomalies: DataFrame) -> DataFrame:
     )
 
 
-def incident_samples(
-    anomalies: DataFrame, slice_width: int = DEFAULT_SLICE_WIDTH
-) -> DataFrame:
-    """The distinct non-blank sample messages of every incident, in order of first appearance.
-
-    One row per sample: a busy incident may have more samples than one array could hold.
-    """
-    distinct = (
+def first_sightings(anomalies: DataFrame) -> DataFrame:
+    """The distinct non-blank sample messages per key, with when each came first."""
+    return (
         anomalies.where(~is_blank("sample_message"))
         .groupBy(*KEY, F.col("sample_message").alias("sample"))
         .agg(F.min("seq").alias("first_seq"))
     )
+
+
+def new_samples(anomalies: DataFrame, stored: DataFrame) -> DataFrame:
+    """First sightings of samples that are not stored yet. A stored sample came earlier."""
+    known = stored.select(
+        F.col("fingerprint").alias("_f"), F.col("source_id").alias("_s"), F.col("sample").alias("_m")
+    )
+    same = (
+        F.col("fingerprint").eqNullSafe(F.col("_f"))
+        & F.col("source_id").eqNullSafe(F.col("_s"))
+        & (F.col("sample") == F.col("_m"))
+    )
+    return first_sightings(anomalies).join(known, same, "left_anti")
+
+
+def numbered_samples(sightings: DataFrame, slice_width: int = DEFAULT_SLICE_WIDTH) -> DataFrame:
+    """First sightings with their ``position`` within the incident."""
     return running(
-        distinct,
+        sightings,
         KEY,
         ["first_seq", "sample"],
         [Track("position", "sum", F.lit(1).cast("bigint"))],
@@ -66,6 +78,16 @@ def incident_samples(
     )
 
 
+def incident_samples(
+    anomalies: DataFrame, slice_width: int = DEFAULT_SLICE_WIDTH
+) -> DataFrame:
+    """The distinct non-blank sample messages of every incident, in order of first appearance.
+
+    One row per sample: a busy incident may have more samples than one array could hold.
+    """
+    return numbered_samples(first_sightings(anomalies), slice_width)
+
+
 def attach_incident(anomalies: DataFrame, incidents: DataFrame) -> DataFrame:
     """Each anomaly with the incident it belongs to, if there is one yet."""
     known = incidents.select(
@@ -254,78 +276,67 @@ def fold_incidents(
     is_prior = F.col("prior").isNotNull()
     is_anomaly = F.col("kind") == "ANOMALY"
     seen = F.col("prev_anomaly").isNotNull()
-    regress = is_anomaly & seen & F.col("prev_kind").isin(_ENDED)
+    regress = is_anomaly & F.col("seen") & F.col("prev_kind").isin(_ENDED)
+    # What an event says about the incident before it is needed for commands only. Anomalies, which are
+    # nearly all rows, keep their own message and no copy of an earlier one.
+    carried = ["prev_anomaly", "prev_sample", "first_sample", "prev_summary"]
+    slim = before.withColumn("seen", seen).withColumns(
+        {name: F.when(~is_anomaly & ~is_prior, F.col(name)) for name in carried}
+    )
+    seen = F.col("seen")
     return Fold(
-        before.withColumn("is_prior", is_prior)
+        slim.withColumn("is_prior", is_prior)
         .withColumn("accepted", is_anomaly | is_prior | seen)
         .withColumn("creates", is_anomaly & ~seen)
         .withColumn("regress", F.coalesce(regress, F.lit(False)))
         .withColumn("reset", F.col("regress") | ((F.col("kind") == "REGRESSED") & ~is_prior))
+        .drop("seen", "slice")
     )
 
 
 def _incidents(steps: DataFrame) -> DataFrame:
-    """Final state per key, folded per slice first and over slices second."""
-    ord_ = F.struct(*_ORDER)
-    accepted = steps.where("accepted").withColumn("ord", ord_)
-    part = Window.partitionBy(*KEY, "slice")
-    accepted = accepted.withColumn("last_reset", F.max(F.when(F.col("reset"), F.col("ord"))).over(part))
+    """Final state per key, by aggregates that are partial before the shuffle."""
+    accepted = steps.where("accepted").withColumn("ord", F.struct(*_ORDER))
     is_anomaly = F.col("kind") == "ANOMALY"
     fresh = ~F.col("is_prior")
-    after_reset = F.col("last_reset").isNull() | (F.col("ord") > F.col("last_reset"))
 
-    def pick(value: str | Column, when: Column) -> Column:
+    def last(value: str, when: Column) -> Column:
         return F.max_by(value, F.when(when, F.col("ord")))
 
-    per_slice = accepted.groupBy(*KEY, "slice").agg(
-        F.max("last_reset").alias("last_reset"),
+    def first(value: str, when: Column) -> Column:
+        return F.min_by(value, F.when(when, F.col("ord")))
+
+    totals = accepted.groupBy(*KEY).agg(
         F.max_by("kind", "ord").alias("last_kind"),
-        F.max("ord").alias("last_ord"),
-        pick("kind", ~is_anomaly).alias("last_command"),
-        F.max(F.when(~is_anomaly, F.col("ord"))).alias("command_ord"),
+        last("kind", ~is_anomaly).alias("last_command"),
         F.sum(F.col("regress").cast("bigint")).alias("regressions"),
         F.sum(F.when(is_anomaly, F.col("anomaly.count"))).alias("occurrences"),
-        F.min_by("ts", F.when((F.col("kind") == "ACKNOWLEDGED") & fresh, F.col("ord"))).alias("acked"),
-        F.min_by("ts", F.when(is_anomaly, F.col("ord"))).alias("first_seen"),
-        pick("anomaly", F.col("anomaly").isNotNull()).alias("last_anomaly"),
-        F.max(F.when(F.col("anomaly").isNotNull(), F.col("ord"))).alias("anomaly_ord"),
-        pick("sample", ~is_blank("sample")).alias("last_sample"),
-        F.max(F.when(~is_blank("sample"), F.col("ord"))).alias("sample_ord"),
-        F.min_by("sample", F.when(is_anomaly, F.col("ord"))).alias("first_sample"),
-        pick("summary", F.col("summary").isNotNull()).alias("last_summary"),
-        F.max(F.when(F.col("summary").isNotNull(), F.col("ord"))).alias("summary_ord"),
-        F.max_by("ts", F.when((F.col("kind") == "RESOLVED") & fresh & after_reset, F.col("ord"))).alias("resolved"),
-        F.min_by("ts", F.when((F.col("kind") == "CLOSED") & fresh & after_reset, F.col("ord"))).alias("closed"),
+        first("ts", (F.col("kind") == "ACKNOWLEDGED") & fresh).alias("acked"),
+        first("ts", is_anomaly).alias("first_seen"),
+        last("anomaly", F.col("anomaly").isNotNull()).alias("last_anomaly"),
+        last("sample", ~is_blank("sample")).alias("last_sample"),
+        first("sample", is_anomaly).alias("first_own"),
+        last("summary", F.col("summary").isNotNull()).alias("summary"),
+        last("ts", (F.col("kind") == "RESOLVED") & fresh).alias("last_resolved"),
+        F.max(F.when((F.col("kind") == "RESOLVED") & fresh, F.col("ord"))).alias("resolved_ord"),
+        F.max(F.when(F.col("reset"), F.col("ord"))).alias("key_reset"),
         F.max_by("prior", F.when(F.col("is_prior"), F.lit(1))).alias("prior"),
     )
-    # Only what follows the key's last reset still decides resolved_at.
-    whole = Window.partitionBy(*KEY)
-    per_slice = per_slice.withColumn("key_reset", F.max("last_reset").over(whole))
-    current = F.col("key_reset").isNull() | (F.col("last_ord") > F.col("key_reset"))
-    slice_no = F.struct("slice")
-
-    def latest(value: str, by: str) -> Column:
-        return F.max_by(value, F.when(F.col(by).isNotNull(), F.col(by)))
-
-    def earliest(value: str, when: Column | None = None) -> Column:
-        condition = F.col(value).isNotNull() if when is None else when & F.col(value).isNotNull()
-        return F.min_by(value, F.when(condition, slice_no))
-
-    folded = per_slice.groupBy(*KEY).agg(
-        F.max_by("last_kind", "last_ord").alias("last_kind"),
-        latest("last_command", "command_ord").alias("last_command"),
-        F.sum("regressions").alias("regressions"),
-        F.sum("occurrences").alias("occurrences"),
-        earliest("acked").alias("acked"),
-        earliest("first_seen").alias("first_seen"),
-        latest("last_anomaly", "anomaly_ord").alias("last_anomaly"),
-        latest("last_sample", "sample_ord").alias("last_sample"),
-        earliest("first_sample").alias("first_sample"),
-        latest("last_summary", "summary_ord").alias("summary"),
-        F.max_by("resolved", F.when(current & F.col("resolved").isNotNull(), slice_no)).alias("resolved"),
-        earliest("closed", current).alias("closed"),
-        F.max_by("prior", F.when(F.col("prior").isNotNull(), F.lit(1))).alias("prior"),
-        F.max("key_reset").alias("key_reset"),
+    # The first CLOSED after the last reset; only keys that were closed take part.
+    closings = accepted.where((F.col("kind") == "CLOSED") & fresh).select(
+        F.col("fingerprint").alias("_f"), F.col("source_id").alias("_s"), "ord", "ts"
+    )
+    same = F.col("fingerprint").eqNullSafe(F.col("_f")) & F.col("source_id").eqNullSafe(F.col("_s"))
+    after_reset = F.col("key_reset").isNull() | (F.col("ord") > F.col("key_reset"))
+    closed = (
+        closings.join(totals.select(*KEY, "key_reset"), same)
+        .where(after_reset)
+        .groupBy("_f", "_s")
+        .agg(F.min_by("ts", "ord").alias("closed"))
+    )
+    current = F.col("key_reset").isNull() | (F.col("resolved_ord") > F.col("key_reset"))
+    folded = totals.join(closed, same, "left").withColumns(
+        {"resolved": F.when(current, F.col("last_resolved")), "first_sample": F.col("first_own")}
     )
     status = (
         F.when(F.col("last_kind") != "ANOMALY", F.col("last_kind"))
@@ -428,12 +439,10 @@ def find_events(events: DataFrame, incident: str, event_type: str | None = None)
 
 
 def event_history(incidents: DataFrame, events: DataFrame, event_type: str | None = None) -> DataFrame:
-    """Every incident with its events, newest first within an incident."""
+    """Every incident with its events, in no order; ``find_events`` orders those of one incident."""
     named = incidents.select(F.col("id").alias("incident_id"), F.col("status").alias("incident_status"))
     chosen = events if event_type is None else events.where(F.col("type") == event_type)
-    return named.join(chosen, "incident_id").orderBy(
-        "incident_id", F.col("created_at").desc(), "id"
-    )
+    return named.join(chosen, "incident_id")
 
 
 def latest_events(events: DataFrame) -> DataFrame:

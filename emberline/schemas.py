@@ -23,13 +23,17 @@ INCIDENTS = (
     "last_window_count bigint, sample_message string, ai_title string, ai_summary string, "
     "probable_cause string, suggested_actions string, regression_count bigint, tags array<string>"
 )
+INCIDENT_EVENTS = (
+    "id string, incident_id string, type string, created_at timestamp, fingerprint string, source_id string, "
+    "source_name string, anomaly_count bigint, severity string, title string, summary string, "
+    "probable_cause string, suggested_actions string, sample_message string, actor string, note string, "
+    "status string, seq bigint"
+)
+SAMPLES = "fingerprint string, source_id string, sample string, first_seq bigint"
 
 DEFAULT_SOURCE_TYPE = "DOCKER"
 
 # The vocabularies and weights the results are defined by.
-LEVELS = ["ERROR", "WARN", "INFO", "DEBUG", "TRACE", "UNKNOWN"]
-SEVERITIES = ["LOW", "MEDIUM", "HIGH", "UNKNOWN"]
-STATUSES = ["OPEN", "ACKNOWLEDGED", "SUPPRESSED", "RESOLVED", "REGRESSED", "CLOSED"]
 OPERATOR_EVENTS = ["ACKNOWLEDGED", "SUPPRESSED", "RESOLVED", "REGRESSED", "CLOSED"]
 SEVERITY_WEIGHT = {"HIGH": 3, "MEDIUM": 2, "LOW": 1, "UNKNOWN": 0}
 STATUS_WEIGHT = {
@@ -45,5 +49,6 @@ IDLE_FLUSH_MS = 800
 WINDOW_SECONDS = 60
 ALERT_THRESHOLD = 20
 RETAINED_WINDOWS = 2
+STATE_TTL_SECONDS = 30 * 86_400
 DASHBOARD_INCIDENTS = 8
 SOURCE_PAGE = 20

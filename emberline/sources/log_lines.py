@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from emberline.schemas import DEFAULT_SOURCE_TYPE, LOG_LINES
 
-_NAMES = [field.split()[0] for field in LOG_LINES.split(", ")]
-
-
 def _projected(rows: DataFrame) -> DataFrame:
     """All ``log_lines`` columns, missing ones filled with their defaults."""
     types = dict(field.split() for field in LOG_LINES.split(", "))
@@ -73,7 +70,8 @@ def stream_log_lines(
 def kafka_log_lines(records: DataFrame) -> DataFrame:
     """Lines from records of the Kafka connector: key = source, one source per partition.
 
-    The offset numbers the lines. The connector itself is an optional package of the cluster.
+    The offset numbers the lines of a partition; ``in_arrival_order`` numbers those of all. The
+    connector itself is an optional package of the cluster.
     """
     return _projected(
         records.select(
@@ -87,3 +85,15 @@ def kafka_log_lines(records: DataFrame) -> DataFrame:
             F.col("offset").alias("seq"),
         )
     )
+
+
+def in_arrival_order(lines: DataFrame) -> DataFrame:
+    """Lines with a ``seq`` that is one order over all sources; the source's own is ``source_seq``.
+
+    Offsets and byte positions start anew in every partition and file, so they order the lines of one
+    source only. Here lines are sorted by arrival, then source, then the source's number, and take
+    their number from the sort: unique, rising over its ranges, and dense within each. So a slice of
+    numbers holds no more lines than it is wide, however many sources share their offsets.
+    """
+    ordered = lines.withColumnRenamed("seq", "source_seq").orderBy("received_at", "source_id", "source_seq")
+    return ordered.withColumn("seq", F.monotonically_increasing_id())

@@ -1,17 +1,18 @@
 """Stored tables: versioned snapshots and an append table that a retried batch overwrites.
 
 A snapshot is a folder ``v=<version>`` under the table's path; readers name the version they want,
-and a retry of the same version replaces only its own folder. Plain Parquet has no merge, so the
-incident upsert is a fold that starts from the previous snapshot and writes the next one.
+and a retry of the same version replaces only its own folder. Plain Parquet has no merge, so an upsert
+reads the buckets of the keys it touches, and the next version holds those anew (``KeyedTable``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
 
-from emberline.operators.incidents import Fold, fold_incidents
-from emberline.operators.running import DEFAULT_SLICE_WIDTH
-from emberline.schemas import INCIDENTS
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberline.schemas import INCIDENT_EVENTS, INCIDENTS, SAMPLES
 
 
 def version_path(path: str, version: int) -> str:
@@ -23,11 +24,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+class MissingSnapshot(RuntimeError):
+    """A stream would have to go on from a state that isn't there."""
+
+
 def read_version(spark: SparkSession, path: str, version: int, schema: str) -> DataFrame:
-    """One snapshot; an absent one (before the first batch) is empty."""
+    """One snapshot. Only before the first batch of an empty table is there none.
+
+    Version -1 is what the first batch, or a retry of it, starts from; if the table holds more than
+    that batch's own snapshot, a new checkpoint was put on an old table, and that is refused.
+    """
     place = version_path(path, version)
-    if not _exists(spark, place + "/_SUCCESS"):
+    if version < 0:
+        newest = latest_version(spark, path)
+        if newest > 0:
+            raise MissingSnapshot(f"{path} has snapshot {newest}, but the stream starts from its first batch")
         return spark.createDataFrame([], schema)
+    if not _exists(spark, place + "/_SUCCESS"):
+        raise MissingSnapshot(f"{place} is absent; the stream can't go on from it")
     return spark.read.schema(schema).parquet(place)
 
 
@@ -56,18 +70,96 @@ def drop_old_version(spark: SparkSession, path: str, version: int, keep: int = 3
         old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
-def read_incidents(spark: SparkSession, path: str, version: int) -> DataFrame:
-    return read_version(spark, path, version, INCIDENTS)
-
-
-def merge_incidents(
-    prior: DataFrame,
-    anomalies: DataFrame,
-    commands: DataFrame | None = None,
-    slice_width: int = DEFAULT_SLICE_WIDTH,
-) -> Fold:
-    """The next incident snapshot: everything stored, continued by the new anomalies and commands."""
-    return fold_incidents(anomalies, commands, prior, slice_width)
+def _children(spark: SparkSession, path: str) -> list[str]:
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [status.getPath().getName() for status in files.listStatus(root)] if files.exists(root) else []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@dataclass(frozen=True)
+class KeyedTable:
+    """A table in buckets by key, of which a batch reads and rewrites only those it touches.
+
+    Data of version n is under ``rows/v=n/bucket=b``; the manifest of version n says which version
+    holds each bucket. A manifest has one row per bucket and is written last, so a batch that failed
+    half-way has changed nothing, and a retry replaces its own folders.
+    """
+
+    path: str
+    schema: str
+    keys: tuple[str, ...]
+    buckets: int = 64
+    keep: int = 3
+
+    @property
+    def _manifests(self) -> str:
+        return f"{self.path.rstrip('/')}/manifest"
+
+    def _rows(self, version: int) -> str:
+        return version_path(f"{self.path.rstrip('/')}/rows", version)
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        """The buckets of the keys of ``rows``, at most as many as there are."""
+        return sorted(row[0] for row in rows.select(self.bucket()).distinct().collect())
+
+    def manifest(self, spark: SparkSession, version: int) -> dict[int, int]:
+        rows = read_version(spark, self._manifests, version, "bucket int, held_by int")
+        return {row["bucket"]: row["held_by"] for row in rows.collect()}
+
+    def latest(self, spark: SparkSession) -> int:
+        return latest_version(spark, self._manifests)
+
+    def read(self, spark: SparkSession, version: int, buckets: list[int] | None = None) -> DataFrame:
+        """The rows of a version, of all or of some buckets."""
+        held = self.manifest(spark, version)
+        wanted = held if buckets is None else [bucket for bucket in buckets if bucket in held]
+        places = [f"{self._rows(held[bucket])}/bucket={bucket}" for bucket in wanted]
+        if not places:
+            return spark.createDataFrame([], self.schema)
+        return spark.read.schema(self.schema).parquet(*places)
+
+    def write(self, rows: DataFrame, version: int, touched: list[int]) -> None:
+        """Version ``version``: the one before, with the touched buckets holding ``rows`` instead."""
+        spark = rows.sparkSession
+        held = {b: v for b, v in self.manifest(spark, version - 1).items() if b not in set(touched)}
+        place = self._rows(version)
+        rows.select("*", self.bucket().alias("bucket")).repartition("bucket").write.mode("overwrite").partitionBy(
+            "bucket"
+        ).parquet(place)
+        written = [int(name.removeprefix("bucket=")) for name in _children(spark, place) if name.startswith("bucket=")]
+        held |= {bucket: version for bucket in written}
+        manifest = spark.createDataFrame(sorted(held.items()), "bucket int, held_by int").coalesce(1)
+        write_version(manifest, self._manifests, version)
+        self._drop_unused(spark, version)
+
+    def _drop_unused(self, spark: SparkSession, version: int) -> None:
+        """Delete what none of the last ``keep`` manifests names."""
+        first = version - self.keep + 1
+        if first <= 0:
+            return
+        named = {item for v in range(first, version + 1) for item in self.manifest(spark, v).items()}
+        for name in _children(spark, f"{self.path.rstrip('/')}/rows"):
+            old = int(name.removeprefix("v="))
+            if old < first:
+                buckets = [child for child in _children(spark, self._rows(old)) if child.startswith("bucket=")]
+                unused = [child for child in buckets if (int(child.removeprefix("bucket=")), old) not in named]
+                for child in unused:
+                    _delete(spark, f"{self._rows(old)}/{child}")
+                if len(unused) == len(buckets):
+                    _delete(spark, self._rows(old))
+        drop_old_version(spark, self._manifests, version, self.keep)
+
+
+def incident_table(path: str, buckets: int = 64) -> KeyedTable:
+    return KeyedTable(path, INCIDENTS, ("fingerprint", "source_id"), buckets)
 
 
 def append_incident_events(events: DataFrame, path: str, batch_id: int) -> None:
@@ -76,4 +168,24 @@ def append_incident_events(events: DataFrame, path: str, batch_id: int) -> None:
 
 
 def read_incident_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """All events with the batch that wrote them; none if the table is empty or absent."""
+    schema = f"{INCIDENT_EVENTS}, batch_id int"
+    if not _children(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def append_samples(samples: DataFrame, path: str, batch_id: int) -> None:
+    """Add first sightings (fingerprint, source_id, sample, first_seq); a retry overwrites its own."""
+    samples.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+
+
+def read_samples(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Stored first sightings, of all batches or of those before one."""
+    schema = f"{SAMPLES}, batch_id int"
+    if not _children(spark, path):
+        rows = spark.createDataFrame([], schema)
+    else:
+        rows = spark.read.schema(schema).parquet(path)
+    rows = rows if before is None else rows.where(F.col("batch_id") < before)
+    return rows.drop("batch_id")

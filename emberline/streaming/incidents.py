@@ -10,12 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from emberline.plans.pipeline import incidents_of
 from emberline.operators.running import DEFAULT_SLICE_WIDTH
-from emberline.sources.tables import (
-    append_incident_events,
-    drop_old_version,
-    read_incidents,
-    write_version,
-)
+from emberline.operators.incidents import new_samples
+from emberline.sources.tables import KeyedTable, append_incident_events, append_samples, incident_table, read_samples
 
 
 def tag_records(anomalies: DataFrame, commands: DataFrame) -> DataFrame:
@@ -27,25 +23,44 @@ def tag_records(anomalies: DataFrame, commands: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class IncidentStream:
-    """Folds every micro-batch onto the snapshot before it; one incident per key, always."""
+    """Folds every micro-batch onto the incidents it touches; one incident per key, always.
+
+    ``samples`` gets the first sightings of sample messages, which the batch's anomalies are held
+    against, so that cards of stored incidents show every sample since the beginning.
+    """
 
     incidents: str
     events: str
     rejected: str
+    samples: str
     slice_width: int = DEFAULT_SLICE_WIDTH
+    buckets: int = 64
+
+    @property
+    def table(self) -> KeyedTable:
+        return incident_table(self.incidents, self.buckets)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prior = read_incidents(spark, self.incidents, batch_id - 1)
         rows = batch.persist()
         try:
             anomalies = rows.where(F.col("anomaly").isNotNull()).select("anomaly.*")
             commands = rows.where(F.col("command").isNotNull()).select("command.*")
+            # commands name incidents by id, which need not be of a key that the batch holds
+            ids = self.table.read(spark, batch_id - 1).select("id", "fingerprint", "source_id")
+            named = ids.join(
+                commands.select(F.col("incident_id").alias("id")).distinct(), "id", "left_semi"
+            ).select("fingerprint", "source_id")
+            keys = anomalies.select("fingerprint", "source_id").union(named)
+            keys = keys.union(commands.select("fingerprint", "source_id"))
+            touched = self.table.touched(keys)
+            prior = self.table.read(spark, batch_id - 1, touched)
             outcome = incidents_of(anomalies, commands, prior, self.slice_width)
             append_incident_events(outcome.fold.events, self.events, batch_id)
             outcome.rejected.write.mode("overwrite").parquet(f"{self.rejected}/batch_id={batch_id}")
-            write_version(outcome.fold.incidents, self.incidents, batch_id)
-            drop_old_version(spark, self.incidents, batch_id)
+            stored = read_samples(spark, self.samples, batch_id)
+            append_samples(new_samples(anomalies, stored), self.samples, batch_id)
+            self.table.write(outcome.fold.incidents, batch_id, touched)
         finally:
             rows.unpersist()
 

@@ -3,9 +3,11 @@ import json
 from pyspark.sql import functions as F
 
 from emberline.operators.entries import log_entries
+from emberline.operators.running import Track, running
 from emberline.session import shared_dir, stage
 from emberline.sources import tables as stored
 from emberline.sources.log_lines import (
+    in_arrival_order,
     kafka_log_lines,
     number_text_lines,
     read_log_lines,
@@ -91,3 +93,23 @@ def test_stage_uses_the_folder_of_the_session(spark, tmp_path):
     table = stage(spark.range(3), "t")
     assert table.count() == 3
     assert table.inputFiles()[0].removeprefix("file://").startswith(shared_dir(spark).removeprefix("file://"))
+
+
+def test_many_partitions_that_share_offsets(spark):
+    """2000 topic partitions, each numbered from zero: slices stay small, and arrival orders the counts."""
+    width = 10
+    lines = spark.range(20_000).select(
+        F.format_string("p-%04d", F.col("id") % 2000).alias("source_id"),
+        F.lit("logs").alias("source_name"),
+        F.timestamp_seconds(F.col("id")).alias("received_at"),
+        F.lit("x").alias("line"),
+        F.expr("id div 2000").alias("seq"),
+    )
+    ordered = stage(in_arrival_order(lines.repartition(6)), "ordered")
+    sizes = ordered.groupBy(F.expr(f"seq div {width}")).count()
+    assert sizes.agg(F.max("count")).first()[0] <= width
+    assert ordered.select("seq").distinct().count() == 20_000
+    counted = running(
+        ordered.withColumn("k", F.lit("one")), ["k"], ["seq", "source_id"], [Track("n", "sum", F.lit(1).cast("bigint"))], width
+    )
+    assert counted.where(F.unix_seconds("received_at") + 1 != F.col("n")).count() == 0
