@@ -9,12 +9,13 @@ from emberline.functions.text import column, is_blank, trimmed
 
 # What is scrubbed and its placeholder, applied in this order. Each token must stand
 # between ASCII word edges. The edge test is written as a lookaround, since the meaning of \b differs
-# between JVM versions, and behind the first character, so that other text is passed over quickly.
+# between JVM versions. For addresses and numbers it stands behind the first digit, which other text
+# fails at once: measured a third faster there, and no faster for the two hexadecimal rules.
 # The last rule turns every white-space run into one space; a lone space needs no replacement.
 SCRUB = [
-    (r"[0-9a-fA-F](?<!\w.)[0-9a-fA-F]{7}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?!\w)", "<uuid>"),
+    (r"(?<!\w)[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?!\w)", "<uuid>"),
     (r"\d(?<!\w.)\d{0,2}\.(?:\d{1,3}\.){2}\d{1,3}(?!\w)", "<ip>"),
-    (r"[a-fA-F0-9](?<!\w.)[a-fA-F0-9]{15,}(?!\w)", "<id>"),
+    (r"(?<!\w)[a-fA-F0-9]{16,}(?!\w)", "<id>"),
     (r"\d(?<!\w.)\d*(?!\w)", "?"),
     (r"\s(?:(?<! )\s*|\s+)", " "),
 ]

@@ -49,7 +49,7 @@ def named_level(value: Column | str) -> Column:
     """Exact level name after trimming and upper-casing, else null."""
     name = F.upper(trimmed(column(value)))
     return F.when(name == "WARNING", "WARN").when(
-        name.isin([level for level in ("ERROR", "WARN", "INFO", "DEBUG", "TRACE")]), name
+        name.isin("ERROR", "WARN", "INFO", "DEBUG", "TRACE"), name
     )
 
 

@@ -50,9 +50,45 @@ def stage(table: DataFrame, name: str, path: str | None = None) -> DataFrame:
 
     Between the steps of a chain this cuts the lineage: later steps read a columnar table, scan only
     the columns they need, and do not repeat the work above it when they use it more than once or
-    when an executor is lost. Name a ``path`` to keep the table; otherwise a new folder is taken.
+    when an executor is lost. Name a ``path`` to keep the table; otherwise a new folder is taken, which
+    ``remove_staged`` deletes.
     """
     spark = table.sparkSession
     place = path or f"{shared_dir(spark)}/emberline-{name}-{uuid.uuid4().hex}"
-    table.write.mode("overwrite").parquet(place)
+    if path is None:
+        _staged.append(place)
+    # Nobody reads the shuffle files of the write again: what follows reads the table.
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        table.write.mode("overwrite").parquet(place)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
     return spark.read.schema(table.schema).parquet(place)
+
+
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_staged: list[str] = []
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables whose consumers are done, each as returned by ``stage``."""
+    for table in tables:
+        spark = table.sparkSession
+        for file in table.inputFiles()[:1]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            if place.getName().startswith("emberline-"):
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def remove_staged(spark: SparkSession) -> int:
+    """Delete the tables that ``stage`` has written under names of its own; returns how many.
+
+    Call it when the results that read them are written or collected: a staged table lives until its
+    consumer is done, and only the caller knows when that is.
+    """
+    done = len(_staged)
+    while _staged:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return done

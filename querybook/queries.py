@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.functions import text as text_functions
@@ -15,7 +15,7 @@ from emberline.operators.dashboard import View
 from emberline.plans.pipeline import Outcome, incidents_of, recent_cards
 from emberline.session import shared_dir, stage
 from emberline.sources import tables as stored
-from emberline.sources.log_lines import kafka_log_lines
+from emberline.sources.log_lines import in_arrival_order, kafka_log_lines, read_log_lines
 from querybook import sql
 from querybook import tables as given
 from querybook.tables import SETTINGS, THRESHOLD, WINDOW, shown
@@ -66,6 +66,29 @@ def kafka_lines(spark, d):
     )
 
 
+@registered(sql.query([sql.LINES], f"SELECT {_LINE_COLUMNS} FROM lines"))
+def stored_lines(spark, d):
+    """The lines written to the shared folder and read back through the reader of stored lines."""
+    place = fresh_folder(spark, "lines")
+    given.log_lines(spark, d).write.parquet(place)
+    return shown(read_log_lines(spark, place).drop("source_type"))
+
+
+@registered(
+    sql.query(
+        [sql.LINES],
+        """SELECT source_id, line, row_number() OVER (PARTITION BY source_id ORDER BY seq) - 1 AS source_seq,
+        row_number() OVER (ORDER BY received_at, source_id, seq) AS position FROM lines""",
+    )
+)
+def arrival_order(spark, d):
+    """Lines numbered per source only, as topics and files do, in one order over all sources."""
+    own = Window.partitionBy("source_id").orderBy("seq")
+    lines = given.log_lines(spark, d).withColumn("seq", (F.row_number().over(own) - 1).cast("bigint"))
+    ordered = in_arrival_order(lines)
+    return dashboard.numbered(ordered, [F.col("seq")], "position").select("source_id", "line", "source_seq", "position")
+
+
 @registered(sql.query([sql.LINES], "SELECT source_id, line, seq FROM lines WHERE source_id = 'c-7'"))
 def select_source(spark, d):
     return dashboard.select_source(given.log_lines(spark, d), "c-7").select("source_id", "line", "seq")
@@ -263,11 +286,26 @@ def incident_merge(spark, d):
     cut = given.table(spark, d, "events").agg(F.expr("10 * (max(event_id) div 2)")).first()[0]
     early = F.col("seq") < cut
     first = incidents_of(found.where(early), orders.where(early))
-    prior = stored.write_version(first.fold.incidents, fresh_folder(spark, "incidents"), 0)
-    second = incidents_of(found.where(~early), orders.where(~early), prior)
+    table = stored.incident_table(fresh_folder(spark, "incidents"))
+    table.write(first.fold.incidents, 0, list(range(table.buckets)))
+    second = incidents_of(found.where(~early), orders.where(~early), table.read(spark, 0))
     return shown(second.fold.incidents.drop("tags"))
 
 
+@registered(
+    sql.to_anomalies("SELECT fingerprint, source_id, sample, first_seq, position FROM samples", sql.SAMPLES)
+)
+def incident_merge_samples(spark, d):
+    """The samples of two runs, the second of which adds what the first has not stored."""
+    found = given.anomalies(spark, d)
+    cut = given.table(spark, d, "events").agg(F.expr("10 * (max(event_id) div 2)")).first()[0]
+    folder = fresh_folder(spark, "samples")
+    for batch, part in enumerate([F.col("seq") < cut, F.col("seq") >= cut]):
+        known = stored.read_samples(spark, folder, batch)
+        stored.append_samples(incidents.new_samples(found.where(part), known), folder, batch)
+    return incidents.numbered_samples(stored.read_samples(spark, folder))
+
+
 @registered(sql.to_fold(f"SELECT {sql.EVENT_COLUMNS} FROM incident_events"))
 def incident_events(spark, d):
     return shown(_outcome(spark, d).fold.events.drop("id"))
@@ -294,6 +332,15 @@ def latest_event(spark, d):
     return shown(incidents.latest_events(_outcome(spark, d).fold.events).drop("id"))
 
 
+@registered(
+    sql.to_fold(f"SELECT {sql.EVENT_COLUMNS} FROM incident_events WHERE incident_id = (SELECT max(id) FROM incidents)")
+)
+def events_of_incident(spark, d):
+    events = _outcome(spark, d).fold.events
+    chosen = events.agg(F.max("incident_id")).first()[0]
+    return shown(incidents.find_events(events, chosen or "").drop("id"))
+
+
 _HISTORY = f"SELECT i.id AS incident_id, i.status AS incident_status, e.type, {sql.fmt('e.created_at')} AS created_at, e.seq FROM incidents i JOIN incident_events e ON i.id = e.incident_id"
 
 
@@ -444,7 +491,7 @@ _TEXT = (
 )
 _HTML = (
     "'<html><body><header><small>Incident Watch Incident Notification</small><h1>' || " + _escaped("title")
-    + " || '</h1><p>An anomaly was detected in <strong>' || name || '</strong> and has been summarized below.</p></header><dl>"
+    + " || '</h1><p>Source: <strong>' || name || '</strong></p></header><dl>"
     "<dt>Severity</dt><dd>' || severity || '</dd><dt>Log Level</dt><dd>' || level || '</dd><dt>Occurrences</dt><dd>' || count || ' in current window</dd>"
     "<dt>Detected At</dt><dd>' || seen_at || '</dd><dt>Source</dt><dd>' || name || ' (' || source_id || ')</dd><dt>Fingerprint</dt><dd>' || fingerprint || '</dd></dl>"
     "<h2>What Happened</h2><p>' || " + _paragraphs("summary") + " || '</p><h2>Probable Cause</h2><p>' || " + _paragraphs("cause")
@@ -609,8 +656,8 @@ def filter_runtimes(spark, d):
 
 @registered(
     sql.dims(
-        """SELECT 'all' AS key, 'All runtimes' AS label, (SELECT count(*) FROM kept) AS count
-        UNION ALL SELECT runtime_key, upper(runtime_key), active_sources FROM runtimes""",
+        """SELECT 'all' AS key, (SELECT count(*) FROM kept) AS count
+        UNION ALL SELECT runtime_key, active_sources FROM runtimes""",
         _RUNTIMES_FOUND,
     )
 )
@@ -666,37 +713,79 @@ _ALL_CARDS = """all_cards AS (
                        FROM samples GROUP BY ALL) ON fingerprint = f AND source_id = s)"""
 
 
-def _all_cards(spark, d) -> DataFrame:
+def _search(spark, d, view: View) -> DataFrame:
     found = given.summarised_anomalies(spark, d)
-    folded = incidents_of(found, given.commands(spark, d)).fold.incidents
-    return dashboard.incident_cards(
-        dashboard.nest_samples(stage(folded, "incidents"), incidents.incident_samples(found))
-    ).drop("available_event_types")
+    folded = stage(incidents_of(found, given.commands(spark, d)).fold.incidents, "incidents")
+    samples = stage(incidents.incident_samples(found), "samples")
+    cards = dashboard.find_incidents(folded, samples, view, given.sources(spark, d))
+    return shown(cards.drop("available_event_types"))
 
 
-@registered(
-    sql.to_cards(
-        f"""SELECT {sql.CARD_COLUMNS} FROM all_cards WHERE severity = 'HIGH' AND status = 'SUPPRESSED'
-        AND (contains(lower(title), 'billing') OR contains(lower(summary), 'billing') OR contains(lower(source_name), 'billing')
-          OR contains(lower(source_id), 'billing') OR contains(lower(status), 'billing') OR contains(lower(severity), 'billing'))""",
-        _ALL_CARDS,
-    )
-)
+def _found(condition: str) -> str:
+    return sql.to_cards(f"SELECT {sql.CARD_COLUMNS} FROM all_cards WHERE {condition}", _ALL_CARDS, sql.SOURCES)
+
+
+def _holds(text: str) -> str:
+    fields = ["title", "summary", "source_name", "source_id", "status", "severity"]
+    return "(" + " OR ".join(f"contains(lower({name}), '{text}')" for name in fields) + ")"
+
+
+@registered(_found("severity = 'HIGH' AND status = 'SUPPRESSED' AND " + _holds("search")))
 def filter_incidents(spark, d):
-    view = View(search="BILLING", severity="HIGH", status="SUPPRESSED")
-    return shown(dashboard.filter_incidents(_all_cards(spark, d), view))
+    return _search(spark, d, View(search="SEARCH", severity="HIGH", status="SUPPRESSED"))
+
+
+@registered(_found("severity = 'LOW'"))
+def filter_incidents_by_severity(spark, d):
+    return _search(spark, d, View(severity="LOW"))
+
+
+@registered(_found("status = 'REGRESSED'"))
+def filter_incidents_by_status(spark, d):
+    return _search(spark, d, View(status="REGRESSED"))
+
+
+@registered(_found(_holds("code 1")))
+def filter_incidents_by_sample(spark, d):
+    """A text that stands in the last line of samples, whichever sample of the incident it is."""
+    return _search(spark, d, View(search="Code 1"))
+
+
+@registered(_found(_holds("customer#000000012")))
+def filter_incidents_by_source(spark, d):
+    return _search(spark, d, View(search="customer#000000012"))
+
+
+_IN_BUILDING = """(source_id IN (SELECT id FROM sources WHERE runtime_key = 'building')
+  OR source_name IN (SELECT name FROM sources WHERE runtime_key = 'building'))"""
+
+
+@registered(_found(_IN_BUILDING))
+def incidents_in_runtime(spark, d):
+    return _search(spark, d, View(runtime="building"))
+
+
+@registered(sql.to_cards("SELECT id, position, sample FROM incidents JOIN samples USING (fingerprint, source_id)"))
+def samples_of_incidents(spark, d):
+    found = given.summarised_anomalies(spark, d)
+    folded = incidents_of(found, given.commands(spark, d)).fold.incidents
+    return dashboard.samples_of(folded, incidents.incident_samples(found))
 
 
 @registered(
     sql.to_cards(
-        f"""SELECT {sql.CARD_COLUMNS} FROM all_cards WHERE source_id IN (SELECT id FROM sources WHERE runtime_key = 'building')
-        OR source_name IN (SELECT name FROM sources WHERE runtime_key = 'building')""",
+        f"SELECT {sql.CARD_COLUMNS}, score AS priority_score, row_number() OVER (ORDER BY score DESC, last_seen_at DESC, id) AS position FROM scored",
         _ALL_CARDS,
-        sql.SOURCES,
+        """scored AS (SELECT *, CASE severity WHEN 'HIGH' THEN 30 WHEN 'MEDIUM' THEN 20 WHEN 'LOW' THEN 10 ELSE 0 END +
+          CASE status WHEN 'REGRESSED' THEN 5 WHEN 'OPEN' THEN 4 WHEN 'ACKNOWLEDGED' THEN 3 WHEN 'SUPPRESSED' THEN 2 WHEN 'RESOLVED' THEN 1 ELSE 0 END AS score FROM all_cards)""",
     )
 )
-def incidents_in_runtime(spark, d):
-    return shown(dashboard.incidents_in_runtime(_all_cards(spark, d), given.sources(spark, d), "building"))
+def ranked_search(spark, d):
+    """Every incident ranked, not only those of one page."""
+    found = given.summarised_anomalies(spark, d)
+    folded = stage(incidents_of(found, given.commands(spark, d)).fold.incidents, "incidents")
+    cards = dashboard.find_incidents(folded, stage(incidents.incident_samples(found), "samples"), View())
+    return shown(dashboard.rank_incidents(cards).drop("available_event_types"))
 
 
 _CLOSED = f"""overlaid AS (
@@ -704,15 +793,29 @@ _CLOSED = f"""overlaid AS (
   UNION ALL SELECT id, title, source_name, source_id, severity, status, last_seen_at, summary FROM cards WHERE severity <> 'LOW')"""
 
 
-@registered(sql.to_cards(f"SELECT {sql.CARD_COLUMNS} FROM overlaid", _CLOSED))
-def overlay_incidents(spark, d):
+def _overlaid(spark, d) -> DataFrame:
     cards = _cards(spark, d).drop("available_event_types")
     updated = (
         cards.where(F.col("severity") == "LOW")
         .withColumn("title", F.lit("Reviewed"))
         .withColumn("status", F.lit("CLOSED"))
     )
-    return shown(dashboard.overlay_incidents(cards, updated))
+    return dashboard.overlay_incidents(cards, updated)
+
+
+@registered(sql.to_cards(f"SELECT {sql.CARD_COLUMNS} FROM overlaid", _CLOSED))
+def overlay_incidents(spark, d):
+    return shown(_overlaid(spark, d))
+
+
+@registered(
+    sql.to_cards(
+        "SELECT count(*) FILTER (status = 'OPEN') AS open_incidents, count(*) AS visible_incidents FROM overlaid", _CLOSED
+    )
+)
+def overlay_metrics(spark, d):
+    """Open and visible incidents counted again after the overlay."""
+    return dashboard.card_metrics(_overlaid(spark, d))
 
 
 _METRICS = """metrics AS (
@@ -733,10 +836,10 @@ shown_jobs AS (SELECT * FROM jobs WHERE status = 'running' AND contains(runtime_
 
 @registered(
     sql.to_cards(
-        """SELECT 'Connected runtimes' AS label, connected_runtimes AS value, (SELECT count(*) FROM kept) || ' visible in current view' AS footer FROM metrics
-        UNION ALL SELECT 'Active tail jobs', active_jobs, (SELECT count(*) FROM shown_jobs) || ' shown after filters' FROM metrics
-        UNION ALL SELECT 'Open incidents', open_incidents, (SELECT count(*) FROM shown WHERE status = 'OPEN') || ' open in focus' FROM metrics
-        UNION ALL SELECT 'Visible incidents', (SELECT count(*) FROM shown), 'Filtered tactical queue'""",
+        """SELECT 'connected_runtimes' AS key, connected_runtimes AS value, (SELECT count(*) FROM kept) AS shown, TRUE AS filtered FROM metrics
+        UNION ALL SELECT 'active_jobs', active_jobs, (SELECT count(*) FROM shown_jobs), TRUE FROM metrics
+        UNION ALL SELECT 'open_incidents', open_incidents, (SELECT count(*) FROM shown WHERE status = 'OPEN'), TRUE FROM metrics
+        UNION ALL SELECT 'visible_incidents', (SELECT count(*) FROM shown), (SELECT count(*) FROM shown), TRUE""",
         *sql._DIMS,
         _METRICS,
         _RUNTIMES_FOUND,
@@ -758,19 +861,15 @@ def filtered_metrics(spark, d):
 
 @registered(
     sql.to_cards(
-        """SELECT 'Runtime focus' AS kicker, upper(runtime_key) AS title, active_sources || '/' || running_sources || ' sources actively tailed in the busiest runtime.' AS body
-        FROM (SELECT * FROM runtimes ORDER BY active_sources * 2 + running_sources DESC, runtime_key LIMIT 1)
-        UNION ALL SELECT 'Coverage', sum(active_sources)::BIGINT || ' active tails across ' || sum(running_sources)::BIGINT || ' running sources',
-          'This view emphasizes where operators already have active stream coverage.' FROM runtimes
-        UNION ALL SELECT 'Priority queue', title, (SELECT count(*) FROM cards WHERE severity = 'HIGH') || ' high-severity incidents in queue. Most urgent source: ' || source_name || '.'
-        FROM (SELECT * FROM cards ORDER BY priority_score DESC, last_seen_at DESC, id LIMIT 1)""",
+        """SELECT b.runtime_key AS busiest_runtime, b.active_sources AS busiest_active, b.running_sources AS busiest_running,
+          (SELECT sum(active_sources)::BIGINT FROM runtimes) AS active_sources, (SELECT sum(running_sources)::BIGINT FROM runtimes) AS running_sources,
+          u.title AS urgent_title, u.source_name AS urgent_source, (SELECT count(*) FROM cards WHERE severity = 'HIGH') AS high_incidents
+        FROM (SELECT * FROM runtimes ORDER BY active_sources * 2 + running_sources DESC, runtime_key LIMIT 1) b,
+          (SELECT * FROM cards ORDER BY priority_score DESC, last_seen_at DESC, id LIMIT 1) u""",
         *sql._DIMS,
     )
 )
 def insights(spark, d):
     views = _views(spark, d)
     runtimes = dashboard.filter_runtimes(dashboard.runtime_summary(views), views, View())
-    cards = _cards(spark, d)
-    return dashboard.dashboard_insights(
-        runtimes, cards, dashboard.overview_metrics(runtimes, given.jobs(spark, d), cards)
-    )
+    return dashboard.dashboard_insights(runtimes, _cards(spark, d))

@@ -25,13 +25,14 @@ MODULE = "CASE WHEN value < 15 THEN 'auth' WHEN value < 60 THEN 'billing' ELSE '
 
 LINES = f"""e AS (
   SELECT event_id, ts, user_id, event_type, value, {MODULE} AS module,
-         strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso FROM events),
+         said, strftime(said, '%Y-%m-%dT%H:%M:%S') AS iso
+  FROM (SELECT *, ts - CASE WHEN event_id % 97 = 0 THEN INTERVAL 3 DAY ELSE INTERVAL 0 DAY END AS said FROM events)),
 numbered AS (
   SELECT *, 0 AS n, CASE event_type
-    WHEN 'error' THEN strftime(ts, '%Y-%m-%d %H:%M:%S,%g') || ' ERROR [' || module || '] request failed user=' || user_id
-    WHEN 'purchase' THEN '{{"@timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '+00:00","severity":"warning","msg":"payment slow","user":' || user_id || '}}'
+    WHEN 'error' THEN strftime(said, '%Y-%m-%d %H:%M:%S,%g') || ' ERROR [' || module || '] request failed user=' || user_id
+    WHEN 'purchase' THEN '{{"@timestamp":"' || strftime(said, '%Y-%m-%dT%H:%M:%S.%g') || '+00:00","severity":"warning","msg":"payment slow","user":' || user_id || '}}'
     WHEN 'click' THEN '{{"ts":"' || iso || 'Z","msg":"INFO page served","user":' || user_id || '}}'
-    WHEN 'view' THEN strftime(ts + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S') || '+02:00 WARN cache miss user=' || user_id
+    WHEN 'view' THEN strftime(said + INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S') || '+02:00 WARN cache miss user=' || user_id
     ELSE 'user ' || user_id || ' signed up from 10.0.' || (user_id // 256) || '.' || (user_id % 256) END AS line FROM e
   UNION ALL
   SELECT *, 1, CASE event_type
@@ -115,11 +116,28 @@ log_events AS (
     level, message, entry_seq AS seq, sha256({normalised("message")}) AS fingerprint
   FROM fields)"""
 
-COUNTED = f"""counted AS (
-  SELECT *, (epoch_us(coalesce(event_time, ingest_time)) // 1000000) // {WINDOW} * {WINDOW} AS window_second,
-    count(*) OVER (PARTITION BY fingerprint, (epoch_us(coalesce(event_time, ingest_time)) // 1000000) // {WINDOW}
-                   ORDER BY seq ROWS UNBOUNDED PRECEDING) AS window_count
-  FROM log_events)"""
+# The late rule, run by run: a run is a stretch of one fingerprint's events in one window.
+COUNTED = f"""windowed AS (
+  SELECT *, (epoch_us(coalesce(event_time, ingest_time)) // 1000000) // {WINDOW} * {WINDOW} AS window_second FROM log_events),
+turned AS (
+  SELECT *, CASE WHEN lag(window_second) OVER w IS NOT DISTINCT FROM window_second THEN 0 ELSE 1 END AS opens
+  FROM windowed WINDOW w AS (PARTITION BY fingerprint ORDER BY seq)),
+runs AS (
+  SELECT *, sum(opens) OVER (PARTITION BY fingerprint ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM turned),
+sizes AS (SELECT fingerprint, run, any_value(window_second) AS w, count(*) AS n FROM runs GROUP BY fingerprint, run),
+held AS (
+  SELECT fingerprint, 0::HUGEINT AS run, 0::BIGINT AS base, []::STRUCT(w BIGINT, c BIGINT)[] AS kept FROM (SELECT DISTINCT fingerprint FROM sizes)
+  UNION ALL
+  SELECT fingerprint, run, base,
+    CASE WHEN len(grown) > 3 THEN list_filter(grown, lambda x: x.w >= w - 2 * {WINDOW}) ELSE grown END
+  FROM (
+    SELECT s.fingerprint, s.run, s.w, coalesce(list_filter(h.kept, lambda x: x.w = s.w)[1].c, 0) AS base,
+      list_append(list_filter(h.kept, lambda x: x.w <> s.w),
+        {{'w': s.w, 'c': (coalesce(list_filter(h.kept, lambda x: x.w = s.w)[1].c, 0) + s.n)::BIGINT}}) AS grown
+    FROM held h JOIN sizes s ON s.fingerprint = h.fingerprint AND s.run = h.run + 1)),
+counted AS (
+  SELECT r.*, h.base + row_number() OVER (PARTITION BY r.fingerprint, r.run ORDER BY seq) AS window_count
+  FROM runs r JOIN held h ON h.fingerprint = r.fingerprint AND h.run = r.run)"""
 
 ANOMALIES = f"""anomalies AS (
   SELECT fingerprint, level, source_id, source_name, ingest_time AS detected_at, window_count AS count, message AS sample_message, seq
@@ -163,7 +181,7 @@ resolved AS (
 
 FOLD = f"""firsts AS (SELECT fingerprint, source_id, min(seq) AS first_seq FROM anomalies GROUP BY ALL),
 inputs AS (
-  SELECT fingerprint, source_id, seq, 'ANOMALY' AS kind, detected_at AS ts, NULL AS actor, NULL AS note, count AS cnt, level, source_name,
+  SELECT fingerprint, source_id, seq, 'ANOMALY' AS kind, detected_at AS ts, NULL::VARCHAR AS actor, NULL::VARCHAR AS note, count AS cnt, level, source_name,
          sample_message, s_title, s_summary, s_cause, s_actions, s_severity FROM summarised
   UNION ALL
   SELECT r.fingerprint, r.source_id, seq, type, ts, actor, nullif(trim(note), ''), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
@@ -228,10 +246,10 @@ JOBS = """jobs AS (
     string_agg('c-' || l_partkey, '|' ORDER BY l_linenumber, l_partkey, l_linestatus = 'F') AS source_ids, o_orderdate AS started_at,
     CASE WHEN bool_and(l_linestatus = 'F') THEN 'stopped' ELSE 'running' END AS status, count(*) AS source_count
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey
-  WHERE o_orderstatus = 'P' GROUP BY o_orderkey, c_mktsegment, o_orderdate),
+  GROUP BY o_orderkey, c_mktsegment, o_orderdate),
 owned AS (
   SELECT DISTINCT lower(c_mktsegment) AS runtime_key, 'c-' || l_partkey AS id
-  FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P')"""
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN customer ON o_custkey = c_custkey)"""
 
 VIEWS = """views AS (
   SELECT s.*, o.id IS NOT NULL AS active FROM sources s LEFT JOIN owned o ON s.runtime_key = o.runtime_key AND s.id = o.id),
@@ -246,7 +264,8 @@ _DIMS = [SOURCES, JOBS, VIEWS]
 
 
 def query(parts: list[str], select: str) -> str:
-    return "WITH " + ",\n".join(parts) + "\n" + select
+    recursive = "RECURSIVE " if COUNTED in parts else ""
+    return f"WITH {recursive}" + ",\n".join(parts) + "\n" + select
 
 
 def to_events(select: str) -> str:

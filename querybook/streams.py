@@ -7,7 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.operators.incidents import numbered_samples
 from emberline.sources import tables as stored
+from emberline.sources.log_lines import stream_log_lines
 from emberline.streaming.counts import CountStream, watermarked_counts
 from emberline.streaming.entries import EntryStream
 from emberline.streaming.incidents import IncidentStream, tag_records
@@ -44,7 +46,7 @@ def stream_entries(spark, d):
     stream = EntryStream(output, fresh_folder(spark, "open-lines"), use_clock=False)
     lines = given.log_lines(spark, d)
     for place in _arrivals(lines, "seq", "lines"):
-        stream.start(_stream(spark, place, lines.schema), checkpoint).awaitTermination()
+        stream.start(stream_log_lines(spark, place), checkpoint).awaitTermination()
     stream.flush(spark)
     return shown(spark.read.parquet(output).drop("source_type", "batch_id"))
 
@@ -58,18 +60,19 @@ def _event_streams(spark, d) -> Iterator[DataFrame]:
 @registered(sql.to_counted(_COUNTED))
 def stream_running_count(spark, d):
     output, checkpoint = fresh_folder(spark, "counted"), fresh_folder(spark, "checkpoint")
-    stream = CountStream(output, fresh_folder(spark, "windows"), WINDOW)
+    stream = CountStream(output, fresh_folder(spark, "windows"), WINDOW, buckets=8)
     for events in _event_streams(spark, d):
         stream.start(events, checkpoint).awaitTermination()
     return _counted_columns(spark.read.parquet(output))
 
 
 _TOTALS = "SELECT fingerprint, window_second, count(*) AS window_total FROM counted GROUP BY ALL"
+NEVER = "3650 days"
 
 
 @registered(sql.to_counted(_TOTALS))
 def stream_watermarked_counts(spark, d):
-    """Late events dropped by a watermark; this input has none."""
+    """Window totals by the watermark form, here with a lateness that lets every event in."""
     output, checkpoint = fresh_folder(spark, "watermarked"), fresh_folder(spark, "checkpoint")
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -77,7 +80,7 @@ def stream_watermarked_counts(spark, d):
 
     for events in _event_streams(spark, d):
         query = (
-            watermarked_counts(events, WINDOW)
+            watermarked_counts(events, WINDOW, NEVER)
             .writeStream.outputMode("update")
             .foreachBatch(write)
             .option("checkpointLocation", checkpoint)
@@ -92,9 +95,9 @@ def stream_watermarked_counts(spark, d):
     )
 
 
-@registered(sql.to_counted(_TOTALS))
+@registered(sql.to_counted(_COUNTED))
 def stateful_running_count(spark, d):
-    """The event-by-event form; the highest running count of a window is its total."""
+    """The counts of every event, with the windows in keyed state."""
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)
     spark.conf.set(
@@ -116,21 +119,29 @@ def stateful_running_count(spark, d):
             spark.conf.unset(provider)
         else:
             spark.conf.set(provider, before)
-    return (
-        spark.read.parquet(output)
-        .groupBy("fingerprint", F.unix_seconds("window_start").alias("window_second"))
-        .agg(F.max("window_count").alias("window_total"))
-    )
+    return _counted_columns(spark.read.parquet(output))
 
 
-@registered(sql.to_fold(f"SELECT {sql.INCIDENT_COLUMNS} FROM incidents"))
-def stream_incidents(spark, d):
+def _incident_stream(spark, d) -> IncidentStream:
     """Anomalies and commands folded batch by batch onto stored incidents."""
     records = tag_records(given.summarised_anomalies(spark, d), given.commands(spark, d))
     ordered = records.withColumn("seq", F.coalesce("anomaly.seq", "command.seq"))
     folder, checkpoint = fresh_folder(spark, "incident-stream"), fresh_folder(spark, "checkpoint")
-    stream = IncidentStream(f"{folder}/incidents", f"{folder}/events", f"{folder}/rejected")
+    stream = IncidentStream(f"{folder}/incidents", f"{folder}/events", f"{folder}/rejected", f"{folder}/samples", buckets=8)
     for place in _arrivals(ordered, "seq", "records"):
         stream.start(_stream(spark, place, ordered.schema), checkpoint).awaitTermination()
-    last = stored.latest_version(spark, f"{folder}/incidents")
-    return shown(stored.read_incidents(spark, f"{folder}/incidents", last).drop("tags"))
+    return stream
+
+
+@registered(sql.to_fold(f"SELECT {sql.INCIDENT_COLUMNS} FROM incidents"))
+def stream_incidents(spark, d):
+    table = _incident_stream(spark, d).table
+    return shown(table.read(spark, table.latest(spark)).drop("tags"))
+
+
+@registered(
+    sql.to_anomalies("SELECT fingerprint, source_id, sample, first_seq, position FROM samples", sql.SAMPLES)
+)
+def stream_incident_samples(spark, d):
+    """The samples that a stream has gathered are those of one run over everything."""
+    return numbered_samples(stored.read_samples(spark, _incident_stream(spark, d).samples))

@@ -1,7 +1,8 @@
 """The given tables seen as the library's inputs.
 
 No given table is a log, so events become log lines and operator commands, customers become sources
-and orders become tail jobs. The mapping covers every row of the tables it reads.
+and orders become tail jobs. The mapping covers every row of the tables it reads: events are read once
+as lines, all of them, and once as commands, where errors have no part.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from emberline.session import stage
 
 WINDOW = 86_400
 THRESHOLD = 5
+LATE_EVERY = 97
 SETTINGS = Settings(window_seconds=WINDOW, threshold=THRESHOLD)
 
 
@@ -35,7 +37,9 @@ def _text(*parts) -> Column:
 def lines_of_events(events: DataFrame) -> DataFrame:
     """One to three log lines per event. Works on batch and streaming frames."""
     user = F.col("user_id").cast("string")
-    at = F.col("ts").cast("timestamp")
+    arrived = F.col("ts").cast("timestamp")
+    # every so many events the line tells of something three days back
+    at = F.when(F.col("event_id") % LATE_EVERY == 0, arrived - F.expr("interval 3 days")).otherwise(arrived)
     iso = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
     code = (F.col("event_id") % 90 + 10).cast("string")
     error = F.array(
@@ -68,7 +72,7 @@ def lines_of_events(events: DataFrame) -> DataFrame:
         .otherwise(signup)
     )
     numbered = events.select(
-        "event_id", "user_id", "event_type", at.alias("at"), F.posexplode(lines).alias("n", "line")
+        "event_id", "user_id", "event_type", arrived.alias("at"), F.posexplode(lines).alias("n", "line")
     )
     delay = F.lit(1_000_000) + F.col("n") * (F.col("event_id") % 4) * 300_000
     return numbered.select(
@@ -97,7 +101,7 @@ def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commands_of_events(events: DataFrame) -> DataFrame:
-    """An operator command for every event that is not an error."""
+    """An operator command for every event that is not an error; errors are read as log lines only."""
     kind = F.col("event_type")
     value = F.col("value")
     source = _text("c-", F.col("user_id").cast("string"))
@@ -211,7 +215,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open orders as tail jobs: the parts on their lines are the containers tailed.
+    """All orders with lines as tail jobs: the parts on their lines are the containers tailed.
 
     An order has a handful of lines, so the arrays are small.
     """
@@ -231,7 +235,6 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         table(spark, sf_dir, "orders")
-        .where(F.col("o_orderstatus") == "P")
         .join(parts, F.col("o_orderkey") == F.col("l_orderkey"))
         .join(owner, "o_custkey")
         .select(

@@ -1,25 +1,18 @@
-"""A few registered queries against DuckDB at the smallest scale; check_oracle.py runs all of them."""
+"""Every registered query of the query book against DuckDB at the smallest scale."""
 
 import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from emberline.session import remove_staged
+from querybook import streams  # noqa: F401  (registers the streaming queries)
+from querybook import tables as given
+from querybook.queries import BOOK
 from tests.check_oracle import compare, oracle
 
 SF_DIR = "/root/testdata/sf0.001"
-NAMES = [
-    "multiline_idle_split",
-    "log_events",
-    "normalize",
-    "fingerprint",
-    "incident_id",
-    "anomalies",
-    "incident_fold",
-    "available_sources",
-    "runtime_panels",
-    "job_views",
-]
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
 
 
@@ -28,17 +21,17 @@ def connection():
     return oracle(SF_DIR)
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", sorted(BOOK))
 def test_query_matches_sql(spark, connection, name):
-    import __spark_entry__ as entry
+    query, sql = BOOK[name]
+    assert compare(spark, connection, name, query, sql, SF_DIR) is None
+    remove_staged(spark)
 
-    assert compare(spark, connection, name, entry.queries()[name], entry.oracle_sql()[name], SF_DIR) is None
-
-
-def test_every_query_has_sql_or_says_why():
-    import __spark_entry__ as entry
 
-    assert set(entry.oracle_sql()) == set(entry.queries())
+def test_jobs_are_all_orders_with_lines(spark):
+    orders = given.table(spark, SF_DIR, "orders").select("o_orderkey").distinct()
+    lines = given.table(spark, SF_DIR, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    assert given.jobs(spark, SF_DIR).count() == orders.join(lines, "o_orderkey").count()
 
 
 def test_entry_runs(spark):
