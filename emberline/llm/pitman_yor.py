@@ -45,10 +45,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.frames import utf8
-from emberline.session import stage
+from emberline.session import stage, unstage
 
-CHUNK_TOKENS = 6_000_000
-TOKENS_PER_BLOCK = 300_000
+CHUNK_TOKENS = 1_500_000
+TOKENS_PER_BLOCK = 600_000
 EXACT_CUSTOMERS = 64
 CELLS = 1_000_000
 
@@ -581,7 +581,7 @@ def score(
     sums = table.agg(F.sum("n_all").alias("all"), F.sum("n_train").alias("train")).first()
     n_all, n_train = sums["all"] or 0, sums["train"] or 0
     blocks = max(16, n_all // TOKENS_PER_BLOCK)
-    word_blocks = max(16, blocks // 3)
+    word_blocks = max(16, blocks // 2)
 
     words = stage(word_totals(ask_words(table, word_blocks), max(50.0, n_train / (4 * blocks))), "words")
     mine, asked = words.where("kind = 0"), words.where("kind = 1")
@@ -594,25 +594,26 @@ def score(
     totals = pairs.agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).first()
     corpus = Corpus(**{**corpus.__dict__, "discount": _discount(totals["ones"] or 0, totals["twos"] or 0)})
 
-    told, before, tables = first_messages(pairs, corpus), None, float(corpus.types)
+    told, before, state, tables = first_messages(pairs, corpus), None, None, float(corpus.types)
     customers = float(_first_customers(pairs))
     for sweep in range(settings.sweeps):
         samples = settings.samples if sweep == settings.sweeps - 1 else 1
         answers = stage(answer_blocks(mine, told, corpus, settings, sweep, tables), "answers")
         tables = float(answers.where("kind = 4").agg(F.sum("n")).first()[0] or 0)
-        state = stage(
+        last, state = state, stage(
             reseat(pairs, answers.where("kind = 3"), before, corpus, settings, sweep, Parent(customers, tables), samples),
             "seats",
         )
+        unstage(answers, *([last] if last is not None else []))
         told, before = state.where("kind = 2"), state.where("kind = 5")
         saved = _summed(before, "y", samples)
         customers = n_train - saved[0]
     to_chunks = stage(answer_words(mine, told, asked, corpus, settings, [tables] * settings.samples), "facts")
     opened = _summed(to_chunks.where("kind = 4"), "y", settings.samples)
     parents = [Parent(n_train - s, t) for s, t in zip(saved, opened)]
-    scored = score_chunks(
-        table, to_chunks.where("kind = 6"), answer_pairs(pairs, before, codes, settings.samples), corpus, settings, parents
-    )
+    seen = stage(answer_pairs(pairs, before, codes, settings.samples), "seen")
+    unstage(words, seated, state)
+    scored = score_chunks(table, to_chunks.where("kind = 6"), seen, corpus, settings, parents)
     rows = table.select("chunk", "ids", "held", "lengths").join(scored, "chunk")
     rows = rows.select(F.inline(F.arrays_zip("ids", "held", "lengths", "n_known", "base_score", "score")))
     n = F.col("lengths").cast("bigint")
