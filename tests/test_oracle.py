@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberline.session import remove_staged
-from querybook import streams  # noqa: F401  (registers the streaming queries)
+from querybook import queries, streams  # noqa: F401  (streams registers the streaming queries)
 from querybook import tables as given
 from querybook.queries import BOOK
 from tests.check_oracle import compare, oracle
@@ -21,11 +21,28 @@ def connection():
     return oracle(SF_DIR)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_inputs(spark):
+    """What many queries derive from the tables alike is made once for this module."""
+    shared = [(given, "log_events"), (given, "anomalies"), (given, "summarised_anomalies")]
+    shared += [(queries, "_outcome"), (queries, "_cards"), (queries, "_views")]
+    with pytest.MonkeyPatch.context() as patch:
+        for module, name in shared:
+
+            def once(session, sf_dir, make=getattr(module, name), made={}):
+                if sf_dir not in made:
+                    made[sf_dir] = make(session, sf_dir)
+                return made[sf_dir]
+
+            patch.setattr(module, name, once)
+        yield
+    remove_staged(spark)
+
+
 @pytest.mark.parametrize("name", sorted(BOOK))
 def test_query_matches_sql(spark, connection, name):
     query, sql = BOOK[name]
     assert compare(spark, connection, name, query, sql, SF_DIR) is None
-    remove_staged(spark)
 
 
 def test_jobs_are_all_orders_with_lines(spark):
