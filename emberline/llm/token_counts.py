@@ -25,8 +25,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.session import stage
+
 CACHE = "content string, version string, n_tokens bigint"
 BATCH_CHARS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def normalised(text: Column) -> Column:
@@ -62,6 +65,7 @@ def count_texts(texts: DataFrame, path: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = _counter(path)
         for frame in frames:
+            frame = frame.drop_duplicates("content")
             counts: list[int] = []
             waiting: list[str] = []
             held = 0
@@ -86,27 +90,40 @@ def read_cache(spark: SparkSession, cache: str) -> DataFrame:
 
 
 def count_tokens(
-    docs: DataFrame, path: str, cache: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, cache: str, id_col: str = "doc_id", text_col: str = "text",
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Per row: the id, ``n_bytes`` and ``n_tokens``; misses are appended to the folder ``cache``.
 
-    One copy per digest is picked on the map side before the shuffle, so a text with many copies
-    crosses the network once per task. Documents then meet the counts by digest alone, without text.
+    Which texts to encode is settled on digests alone. The texts stay where they are read, and learn
+    from a broadcast which of them another copy stands for (nothing stored yet) or which are missing
+    (most are stored); the broadcast has at most ``broadcast_rows`` digests. Beyond that, one text per
+    digest, picked on the map side, is shuffled to meet the missing digests.
     """
     spark = docs.sparkSession
     version = version_of(path)
     text = normalised(F.col(f"`{text_col}`"))
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), text.alias("text")).select(
-        "_id", "text", F.sha2("text", 256).alias("content")
+        "_id", "text", F.unhex(F.sha2("text", 256)).alias("digest")
     )
-    known = read_cache(spark, cache).where(F.col("version") == version).select("content", "n_tokens")
-    misses = rows.select("content", "text").groupBy("content").agg(F.first("text").alias("text"))
-    misses = misses.join(known.select("content"), "content", "left_anti")
-    count_texts(misses, path).select("content", F.lit(version).alias("version"), "n_tokens").write.mode(
+    known = read_cache(spark, cache).where(F.col("version") == version)
+    known = known.select(F.unhex("content").alias("digest"), "n_tokens")
+    digests = rows.groupBy("digest").agg(F.min(F.struct("_id")).alias("low"), F.count(F.lit(1)).alias("n"))
+    misses = stage(digests.join(known.select("digest"), "digest", "left_anti"), "misses")
+    sizes = misses.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("n") > 1).alias("repeated")).first()
+    chosen = F.col("_id").eqNullSafe(F.col("low._id"))
+    if sizes["repeated"] <= broadcast_rows and known.isEmpty():
+        repeated = F.broadcast(misses.where("n > 1").select("digest", "low"))
+        texts = rows.join(repeated, "digest", "left").where(F.col("low").isNull() | chosen)
+    elif sizes["all"] <= broadcast_rows:
+        texts = rows.join(F.broadcast(misses.select("digest", "low")), "digest").where(chosen)
+    else:
+        texts = rows.groupBy("digest").agg(F.first("text").alias("text")).join(misses, "digest", "left_semi")
+    found = texts.select(F.lower(F.hex("digest")).alias("content"), "text")
+    count_texts(found, path).select("content", F.lit(version).alias("version"), "n_tokens").write.mode(
         "append"
     ).parquet(cache)
-    counts = read_cache(spark, cache).where(F.col("version") == version).select("content", "n_tokens")
-    found = rows.select("_id", "content", F.octet_length("text").cast("bigint").alias("n_bytes")).join(
-        counts, "content", "left"
-    )
-    return found.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens")
+    counts = read_cache(spark, cache).where(F.col("version") == version)
+    counts = counts.select(F.unhex("content").alias("digest"), "n_tokens")
+    sized = rows.select("_id", "digest", F.octet_length("text").cast("bigint").alias("n_bytes"))
+    return sized.join(counts, "digest", "left").select(F.col("_id").alias(id_col), "n_bytes", "n_tokens")

@@ -196,7 +196,8 @@ def test_decontamination_runs_no_python(spark):
 # ---- token counts
 
 
-def test_counts_come_from_the_cache(spark):
+@pytest.mark.parametrize("limit", [10**6, 2, 0])
+def test_counts_come_from_the_cache(spark, limit):
     from tokenizers import Tokenizer
 
     texts = ["one two three", "one two three", "", "<|endoftext|> x", "ä ö ü " * 200, None]
@@ -205,7 +206,7 @@ def test_counts_come_from_the_cache(spark):
     want = {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
     docs = frame(spark, texts)
     for _ in range(2):
-        made = token_counts.count_tokens(docs, JSON, cache).collect()
+        made = token_counts.count_tokens(docs, JSON, cache, broadcast_rows=limit).collect()
         assert {row["doc_id"]: row["n_tokens"] for row in made} == want
         assert {row["doc_id"]: row["n_bytes"] for row in made} == {i: len((t or "").encode()) for i, t in enumerate(texts)}
         assert spark.read.parquet(cache).count() == 4
