@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.frames import unused
+from emberline.session import stage
 
 # Of 13 words in a row, eight must agree for a hit.
 MASKS = ("1101100101101", "1011010011011")
@@ -51,16 +52,17 @@ def seed_rows(texts: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
     return placed.select("*", F.explode(seeds).alias("seed"))
 
 
-def overlap(left: Column, left_at: Column, right: Column, right_at: Column, around: int = AROUND) -> Column:
-    """Best score of a run of opposite words near a hit: equal words count up, others down."""
+def windows(left: Column, left_at: Column, right: Column, right_at: Column, around: int = AROUND) -> tuple[Column, Column]:
+    """The words of both sides that lie opposite each other near a hit, as two arrays of equal length."""
     before = F.least(F.lit(around), left_at, right_at)
     after = F.least(F.lit(around), F.size(left) - left_at - SPAN, F.size(right) - right_at - SPAN)
     length = before + after + SPAN
-    steps = F.zip_with(
-        F.slice(left, left_at - before + 1, length),
-        F.slice(right, right_at - before + 1, length),
-        lambda a, b: F.when(a == b, 1).otherwise(-1),
-    )
+    return F.slice(left, left_at - before + 1, length), F.slice(right, right_at - before + 1, length)
+
+
+def overlap(left: Column, right: Column) -> Column:
+    """Best score of a run of opposite words: equal ones count up, others down."""
+    steps = F.zip_with(left, right, lambda a, b: F.when(a == b, 1).otherwise(-1))
     start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(state: Column, value: Column) -> Column:
@@ -88,9 +90,12 @@ def find_leaks(
         bare = seed_rows(texts).select("_id", "at", "seed").join(items, "seed").drop("seed")
         hits = bare.withColumnRenamed("_id", "_hit").join(texts, F.col("_hit").eqNullSafe(F.col("_id")))
         hits = hits.where(F.size("words") >= F.col("at") + SPAN)
-    scored = hits.select(
-        "_id", "_item", overlap(F.col("words"), F.col("at"), F.col("_item_words"), F.col("_item_at")).alias("overlap")
-    )
+    # A hit leaves the generated code with two short windows, not with the words of its document. That
+    # both are looked at twice below keeps the optimizer from moving them into the score.
+    left, right = windows(F.col("words"), F.col("at"), F.col("_item_words"), F.col("_item_at"))
+    near = hits.select("_id", "_item", left.alias("_left"), right.alias("_right"))
+    even = F.size("_left") == F.size("_right")
+    scored = near.select("_id", "_item", F.when(even, overlap(F.col("_left"), F.col("_right"))).alias("overlap"))
     # the score is filtered after it is aggregated: as a condition of the join it would take positions
     # and join out of the generated code, and write a text's words once per position
     best = scored.groupBy("_id", "_item").agg(F.max("overlap").alias("overlap"))
@@ -99,7 +104,12 @@ def find_leaks(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is not reported by ``find_leaks``."""
+    """The rows of ``docs`` whose id is not reported by ``find_leaks``.
+
+    Reported ids are stored first; unless there are very many, texts needn't be shuffled to leave them out.
+    """
     leak = unused(docs, "leak")
-    leaks = find_leaks(docs, benchmark, id_col, text_col).select(F.col(f"`{id_col}`").alias(leak)).distinct()
+    leaks = stage(find_leaks(docs, benchmark, id_col, text_col).select(F.col(f"`{id_col}`").alias(leak)).distinct(), "leaks")
+    if leaks.count() <= BROADCAST_SEEDS:
+        leaks = F.broadcast(leaks)
     return docs.join(leaks, F.col(f"`{id_col}`").eqNullSafe(F.col(leak)), "left_anti")
