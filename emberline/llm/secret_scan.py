@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from emberline.llm.frames import per_text, utf8
 from emberline.llm.spans import Span, digest, ordered, overlaps, written
+from emberline.operators.dashboard import numbered
 
 KINDS = ["assign", "access", "hex", "guess"]
 MIN_GUESSES = 10.0
@@ -178,8 +179,8 @@ def find(text: str, ranks: dict[str, int]) -> tuple[list[Span], list[Span]]:
 def learn_dictionary(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY_WORDS) -> dict[str, int]:
     """Rank by frequency of the most frequent words of three letters or more; ties go by the word.
 
-    Words are counted over all documents, first per batch and then by a shuffle; only the ``words``
-    top ones, of at most LONGEST_WORD letters, reach the driver.
+    Words are counted over all documents, first per batch and then by a shuffle, and ranked by a sort
+    over ranges; only the ``words`` top ones, of at most LONGEST_WORD letters, reach the driver.
     """
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,8 +196,9 @@ def learn_dictionary(docs: DataFrame, text_col: str = "text", words: int = DICTI
             yield pd.DataFrame(kept, columns=["word", "n"])
 
     counts = docs.select(F.col(f"`{text_col}`").alias("text")).mapInPandas(counted, "word string, n bigint")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(words)
-    ranks = {row["word"]: rank for rank, row in enumerate(top.collect(), len(FIRST_WORDS) + 1)}
+    totals = counts.groupBy("word").agg(F.sum("n").alias("n"))
+    top = numbered(totals, [F.col("n").desc(), F.col("word")], "rank").where(F.col("rank") <= words)
+    ranks = {row["word"]: row["rank"] + len(FIRST_WORDS) for row in top.select("word", "rank").collect()}
     return ranks | {word: rank for rank, word in enumerate(FIRST_WORDS, 1)}
 
 
