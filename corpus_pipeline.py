@@ -37,7 +37,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document: its id, the number of tokens, and digests of the ids and the decoded bytes."""
-    return byte_bpe.digest_documents(docs, str(public_tokenizers.path(BPE_FILE)), public_tokenizers.PATTERN)
+    return byte_bpe.digest_documents(docs, str(public_tokenizers.path(BPE_FILE)), public_tokenizers.PATTERN, units=byte_bpe.UNITS)
 
 
 STAGES = [

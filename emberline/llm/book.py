@@ -51,7 +51,7 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BPE_FILE)
-    return byte_bpe.digest_documents(documents(spark, sf_dir), str(path), public_tokenizers.PATTERN)
+    return byte_bpe.digest_documents(documents(spark, sf_dir), str(path), public_tokenizers.PATTERN, units=byte_bpe.UNITS)
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

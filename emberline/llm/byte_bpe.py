@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with length-bucketed numpy matrices.
 
-A text is split by the tokenizer's pattern; each distinct piece is encoded once per task and kept in
-a bounded table. New pieces go into padded matrices, one per bucket of similar lengths. Each round,
+A text is split by the tokenizer's pattern; each distinct piece is encoded once while it stays in a
+bounded table. New pieces go into padded matrices, one per bucket of similar lengths. Each round,
 every row looks for its leftmost pair of minimum rank (``argmin`` over the matrix of pair ranks),
 merges it, and closes the gap by shifting its tail; rows without a mergeable pair leave the matrix.
 Ranks of pairs come from one hash table in two numpy arrays, probed for a whole column at a time.
@@ -18,18 +18,23 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-NONE = np.int64(2**62)
+from emberline.llm.frames import per_batch
+
+NONE = np.int32(2**31 - 1)
 LONG_PIECE = 128
-CACHED_PIECES = 400_000
+CACHED_UNITS = 600_000
+# Fixed value: where matches of the pattern of byte_bpe vocabularies must begin and end, runs of
+# anything but white space with the blank before them, and runs of white space.
+BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+UNITS = rf" ?[^{BLANK}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
 BATCH_CHARS = 4_000_000
 
 
@@ -40,7 +45,7 @@ class PairTable:
         bits = max(4, int(np.ceil(np.log2(max(len(left), 1) * 3))))
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys = np.full(1 << bits, -1, dtype=np.int64)
-        self.values = np.full(1 << bits, NONE, dtype=np.int64)
+        self.values = np.full(1 << bits, NONE, dtype=np.int32)
         keys = (left.astype(np.int64) << 32) | right.astype(np.int64)
         slot = self._slot(keys)
         waiting = np.arange(len(keys))
@@ -58,19 +63,18 @@ class PairTable:
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merged token per pair, NONE where the pair doesn't merge or one side is padding (-1)."""
-        keys = (left << 32) | right
-        found = np.full(keys.shape, NONE, dtype=np.int64)
+        keys = (left.astype(np.int64) << 32) | right
+        flat = np.full(keys.size, NONE, dtype=np.int32)
         at = np.flatnonzero((left >= 0) & (right >= 0))
         keys = keys.ravel()[at]
         slot = self._slot(keys)
-        flat = found.ravel()
         while len(at):
             held = self.keys[slot]
             hit = held == keys
             flat[at[hit]] = self.values[slot[hit]]
             on = ~hit & (held != -1)
             at, keys, slot = at[on], keys[on], (slot[on] + 1) & self.mask
-        return flat.reshape(found.shape)
+        return flat.reshape(left.shape)
 
 
 @dataclass(frozen=True)
@@ -98,7 +102,7 @@ def build(ranks: dict[bytes, int], pattern: str) -> Tokenizer:
     lengths = np.array([len(token) for token in tokens], dtype=np.int64)
     return Tokenizer(
         PairTable(np.array(left, dtype=np.int64), np.array(right, dtype=np.int64), np.array(merged, dtype=np.int64)),
-        np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64),
+        np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32),
         tokens,
         np.frombuffer(b"".join(tokens), dtype=np.uint8),
         np.concatenate([[0], np.cumsum(lengths)[:-1]]),
@@ -115,46 +119,48 @@ def load(path: str, pattern: str) -> Tokenizer:
     return build(ranks, pattern)
 
 
-def merge_matrix(tokenizer: Tokenizer, pieces: list[bytes]) -> list[np.ndarray]:
-    """Token ids per piece, for pieces of similar length."""
-    lengths = np.array([len(piece) for piece in pieces])
+def merge_matrix(tokenizer: Tokenizer, pieces: list[bytes]) -> list[bytes]:
+    """Token ids per piece, as packed 32-bit numbers, for pieces of similar length."""
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
     width = int(lengths.max())
-    ids = np.full((len(pieces), width + 1), -1, dtype=np.int64)
+    ids = np.full((len(pieces), width + 1), -1, dtype=np.int32)
     inside = np.arange(width + 1) < lengths[:, None]
     ids[inside] = tokenizer.byte_ids[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
-    ranks = np.full((len(pieces), width), NONE, dtype=np.int64)
-    ranks[:] = tokenizer.pairs.rank(ids[:, :-1], ids[:, 1:])
-    out: list[np.ndarray | None] = [None] * len(pieces)
-    rows = np.arange(len(pieces))
+    ranks = tokenizer.pairs.rank(ids[:, :-1], ids[:, 1:])
+    rows, finished, found = np.arange(len(pieces)), [], []
     while len(rows):
         at = ranks.argmin(axis=1)
-        line = np.arange(len(rows))
-        best = ranks[line, at]
-        done = best == NONE
-        if done.any():
-            for row, found in zip(rows[done], ids[done]):
-                out[row] = found[found >= 0]
-            keep = ~done
+        best = ranks[np.arange(len(rows)), at]
+        keep = best != NONE
+        if not keep.all():
+            finished.append(rows[~keep])
+            done = ids[~keep]
+            ends = 4 * np.cumsum((done >= 0).sum(axis=1))
+            flat = done[done >= 0].tobytes()
+            found += [flat[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]
             rows, ids, ranks, at, best = rows[keep], ids[keep], ranks[keep], at[keep], best[keep]
             if not len(rows):
                 break
-            used = int((ids >= 0).sum(axis=1).max())
-            ids, ranks = ids[:, : used + 1], ranks[:, :used]
-            line = np.arange(len(rows))
+        # close the gap: one place less for every row
         column = np.arange(ids.shape[1] - 1)
-        ids[:, :-1] = np.where(column > at[:, None], ids[:, 1:], ids[:, :-1])
-        ids[:, -1] = -1
+        ids = np.where(column > at[:, None], ids[:, 1:], ids[:, :-1])
+        line = np.arange(len(rows))
         ids[line, at] = best
-        ranks[:, :-1] = np.where(column[:-1] > at[:, None], ranks[:, 1:], ranks[:, :-1])
-        ranks[:, -1] = NONE
-        ranks[line, at] = tokenizer.pairs.rank(ids[line, at], ids[line, at + 1])
-        before = np.maximum(at - 1, 0)
-        fresh = tokenizer.pairs.rank(ids[line, before], ids[line, before + 1])
-        ranks[line, before] = np.where(at > 0, fresh, ranks[line, before])
+        ranks = np.where(column[:-1] > at[:, None], ranks[:, 1:], ranks[:, :-1])
+        # only the pairs on either side of the merged place are new; at the ends one side is padding
+        right = np.flatnonzero(at < ranks.shape[1])
+        ranks[right, at[right]] = tokenizer.pairs.rank(ids[right, at[right]], ids[right, at[right] + 1])
+        left = np.flatnonzero(at > 0)
+        ranks[left, at[left] - 1] = tokenizer.pairs.rank(ids[left, at[left] - 1], ids[left, at[left]])
+        if not ranks.shape[1]:
+            ranks = np.full((len(rows), 1), NONE, dtype=np.int32)
+    out: list[bytes] = [b""] * len(pieces)
+    for row, made in zip(np.concatenate(finished).tolist(), found):
+        out[row] = made
     return out
 
 
-def merge_long(tokenizer: Tokenizer, piece: bytes) -> np.ndarray:
+def merge_long(tokenizer: Tokenizer, piece: bytes) -> bytes:
     """The same for one long piece: a matrix of one row whose gaps are closed now and then.
 
     Merged places are marked and skipped through links, so a round costs one ``argmin`` instead of a
@@ -163,14 +169,14 @@ def merge_long(tokenizer: Tokenizer, piece: bytes) -> np.ndarray:
     ids = tokenizer.byte_ids[np.frombuffer(piece, dtype=np.uint8)].copy()
     while True:
         size = len(ids)
-        ranks = np.full(size, NONE, dtype=np.int64)
+        ranks = np.full(size, NONE, dtype=np.int32)
         ranks[:-1] = tokenizer.pairs.rank(ids[:-1], ids[1:])
         after, before = np.arange(1, size + 1), np.arange(-1, size - 1)
         alive, gone = np.ones(size, dtype=bool), 0
         while True:
             at = int(ranks.argmin())
             if ranks[at] == NONE:
-                return ids[alive]
+                return ids[alive].tobytes()
             ids[at] = ranks[at]
             dead = int(after[at])
             alive[dead], ranks[dead], gone = False, NONE, gone + 1
@@ -186,9 +192,9 @@ def merge_long(tokenizer: Tokenizer, piece: bytes) -> np.ndarray:
                 break
 
 
-def encode_pieces(tokenizer: Tokenizer, pieces: list[bytes], cells: int = 2_000_000) -> list[np.ndarray]:
-    """Token ids of distinct pieces; a matrix holds at most ``cells`` places or one row."""
-    out: list[np.ndarray | None] = [None] * len(pieces)
+def encode_pieces(tokenizer: Tokenizer, pieces: list[bytes], cells: int = 400_000) -> list[bytes]:
+    """Packed token ids of distinct pieces; a matrix holds about ``cells`` places or one row."""
+    out: list[bytes] = [b""] * len(pieces)
     order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
     start = 0
     while start < len(order):
@@ -208,21 +214,33 @@ def encode_pieces(tokenizer: Tokenizer, pieces: list[bytes], cells: int = 2_000_
 
 
 class Encoder:
-    """Encodes texts batch by batch; pieces seen before come from a table of bounded size."""
+    """Encodes texts batch by batch; units seen before come from a table of bounded size.
 
-    def __init__(self, tokenizer: Tokenizer, cached: int = CACHED_PIECES):
+    A unit is a stretch of text that no match of the pattern crosses, by default a match itself.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, units: str | None = None, cached: int = CACHED_UNITS):
         self.tokenizer, self.cached = tokenizer, cached
-        self.known: dict[str, np.ndarray] = {}
+        self.units = re.compile(units) if units else tokenizer.pattern
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, units: set[str]) -> None:
+        """Encode units that are not known yet, each distinct piece of them once."""
+        split = [self.tokenizer.pattern.findall(unit) for unit in units]
+        pieces = list({piece for parts in split for piece in parts})
+        ids = dict(zip(pieces, encode_pieces(self.tokenizer, [piece.encode("utf-8", "replace") for piece in pieces])))
+        for unit, parts in zip(units, split):
+            self.known[unit] = ids[parts[0]] if len(parts) == 1 else b"".join([ids[part] for part in parts])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.tokenizer.pattern.findall(text) for text in texts]
+        split = [self.units.findall(text) for text in texts]
         if len(self.known) > self.cached:
             self.known.clear()
-        fresh = list({piece: None for pieces in split for piece in pieces if piece not in self.known})
-        found = encode_pieces(self.tokenizer, [piece.encode("utf-8", "replace") for piece in fresh])
-        self.known.update(zip(fresh, found))
-        empty = np.zeros(0, dtype=np.int64)
-        return [np.concatenate([self.known[piece] for piece in pieces]) if pieces else empty for pieces in split]
+        fresh = {unit for units in split for unit in units}.difference(self.known)
+        if fresh:
+            self.learn(fresh)
+        known = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(known, units)), dtype=np.int32) for units in split]
 
 
 def decode(tokenizer: Tokenizer, ids: np.ndarray) -> bytes:
@@ -249,51 +267,43 @@ def batches_of(texts: list[str], chars: int = BATCH_CHARS) -> Iterator[list[str]
 
 
 def encode_documents(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", units: str | None = None
 ) -> DataFrame:
     """Per row: the id, the token ids in ``ids`` and the decoded bytes in ``decoded``."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(load(path, pattern))
-        for frame in frames:
-            start = 0
-            for texts in batches_of([text or "" for text in frame["_text"]]):
-                ids = encoder.encode(texts)
-                part = frame["_id"].iloc[start : start + len(texts)]
-                start += len(texts)
-                yield pd.DataFrame({"_id": part.values, "ids": ids, "decoded": [decode(encoder.tokenizer, x) for x in ids]})
+    def compute():
+        encoder = Encoder(load(path, pattern), units)
 
-    return _over(docs, run, "ids array<int>, decoded binary", id_col, text_col)
+        def rows(texts: list[str]) -> Iterator[list[tuple]]:
+            for run in batches_of(texts):
+                yield [(ids.tolist(), decode(encoder.tokenizer, ids)) for ids in encoder.encode(run)]
+
+        return rows
+
+    return per_batch(docs, id_col, text_col, "ids array<int>, decoded binary", compute)
 
 
 def digest_documents(
-    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", units: str | None = None
 ) -> DataFrame:
     """Per row: the id, ``n_tokens`` and digests of the ids and of the decoded bytes.
 
     The ids and bytes are those of ``encode_documents``; they are hashed in the task that made them.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(load(path, pattern))
+    def compute():
+        encoder = Encoder(load(path, pattern), units)
         names = [str(rank) for rank in range(len(encoder.tokenizer.tokens))]
-        for frame in frames:
-            start = 0
-            for texts in batches_of([text or "" for text in frame["_text"]]):
-                rows = []
-                for ids in encoder.encode(texts):
-                    shown = ",".join(map(names.__getitem__, ids.tolist()))
-                    back = decode(encoder.tokenizer, ids)
-                    rows.append((len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(back).hexdigest()))
-                made = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-                made.insert(0, "_id", frame["_id"].iloc[start : start + len(texts)].values)
-                start += len(texts)
-                yield made
-
-    return _over(docs, run, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", id_col, text_col)
-
-
-def _over(docs: DataFrame, run, schema: str, id_col: str, text_col: str) -> DataFrame:
-    id_type = docs.schema[id_col].dataType.simpleString()
-    pairs = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    return pairs.mapInPandas(run, f"_id {id_type}, {schema}").withColumnRenamed("_id", id_col)
+
+        def row(ids: np.ndarray) -> tuple:
+            shown = ",".join(map(names.__getitem__, ids.tolist()))
+            back = decode(encoder.tokenizer, ids)
+            return len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
+
+        def rows(texts: list[str]) -> Iterator[list[tuple]]:
+            for run in batches_of(texts):
+                yield [row(ids) for ids in encoder.encode(run)]
+
+        return rows
+
+    return per_batch(docs, id_col, text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", compute)
