@@ -8,8 +8,9 @@ register. Two texts agree in a register with a probability equal to their simila
 
 Registers are grouped into bands. Texts that share a band are candidates, which are verified on their
 shingles, and verified links are joined into classes. No bucket is expanded into all its pairs: first
-every member is compared with a leader of its bucket, twice with different leaders; after that only
-members of different classes meet, and all of those do, so no candidate link between classes is lost.
+every member is compared with a leader of its bucket; after that only members of different classes
+meet, and all of those do whose sketches, a second signature, don't rule it out, so no candidate link
+between classes is lost.
 
 Equal texts (up to case) are one text from the start, whatever their number. Intermediate tables go to
 the shared folder; nothing is collected.
@@ -35,7 +36,7 @@ from emberline.session import stage
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_SIZE = 32, 6
-LEADER_ROUNDS = 2
+SKETCH = 256
 BATCH_SHINGLES = 400_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -227,10 +228,31 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def _cross(members: DataFrame, number: int | None) -> DataFrame:
+def sketches_of(bags: DataFrame, registers: int = SKETCH) -> DataFrame:
+    """(key, sketch): a second signature of each bag, independent of the bands."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for start in range(0, len(frame), 500):
+                part = frame.iloc[start : start + 500]
+                found = [_bag(packed) for packed in part["bag"]]
+                rows = signatures([(mixed(s.astype(np.uint64) + np.uint64(1)), n) for s, n in found], registers)
+                yield pd.DataFrame({"key": part["key"], "sketch": list((rows >> np.uint64(32)).astype(np.uint32).view(np.int32))})
+
+    return bags.mapInPandas(run, "key binary, sketch array<int>")
+
+
+def _agreement(a: str, b: str) -> Column:
+    """In how many registers two sketches agree."""
+    same = F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0))
+    return F.aggregate(same, F.lit(0), lambda total, one: total + one)
+
+
+def _cross(members: DataFrame, number: int | None, bags: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of members of one bucket that are in different classes.
 
-    With a number: of each member with the bucket's leader, which the number chooses. Without: all.
+    With a number: of each member with the bucket's leader, which the number chooses. Without: all
+    whose sketches let a similar pair seem possible, by four standard deviations of their estimate.
     Two members that are in one class already are not compared, so a large class costs nothing here.
     """
     if number is not None:
@@ -239,11 +261,25 @@ def _cross(members: DataFrame, number: int | None) -> DataFrame:
         pairs = led.where(F.col("root") != F.col("leader.root")).select("key", F.col("leader.key").alias("other"))
     else:
         # first the classes that share a bucket, then their members: the members of one class never meet
-        classes = members.select("bucket", "root").distinct()
-        meeting = classes.join(classes.select("bucket", F.col("root").alias("other_root")), "bucket")
-        meeting = meeting.where(F.col("root") < F.col("other_root"))
-        other = members.select("bucket", F.col("key").alias("other"), F.col("root").alias("other_root"))
-        pairs = members.join(meeting, ["bucket", "root"]).join(other, ["bucket", "other_root"])
+        # the largest class of each bucket with several; its own members never meet
+        sizes = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+        largest = sizes.groupBy("bucket").agg(
+            F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("classes")
+        )
+        mixed_up = members.join(largest.where(F.col("classes") > 1).drop("classes"), "bucket")
+        sketches = stage(sketches_of(bags.join(mixed_up.select("key").distinct(), "key", "left_semi")), "sketches")
+        sketched = mixed_up.join(sketches, "key")
+        outside = sketched.where(F.col("root") != F.col("largest"))
+        other = sketched.select(
+            "bucket", F.col("key").alias("other"), F.col("root").alias("its_root"), F.col("sketch").alias("its_sketch")
+        )
+        spread = (similarity * (1 - similarity) / SKETCH) ** 0.5
+        least = int((similarity - 4 * spread) * SKETCH)
+        once = (F.col("its_root") == F.col("largest")) | (F.col("key") < F.col("other"))
+        near = (F.col("root") != F.col("its_root")) & once & (_agreement("sketch", "its_sketch") >= least)
+        pairs = outside.alias("l").join(
+            other.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & near
+        )
     return pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
@@ -271,25 +307,24 @@ def text_classes(
     found = source.join(wanted, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")))
     bags = stage(bags_of(found.select("key", "text")).dropDuplicates(["key"]), "bags")
 
-    roots, links, tried = None, None, None
-    for number in [*range(LEADER_ROUNDS), None]:
-        if roots is None:
-            classed = members.withColumn("root", F.col("key"))
-        else:
-            classed = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-        pairs = _cross(stage(classed, "classed"), number)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
-        new = verified(pairs, bags, similarity)
-        links = stage(new if links is None else links.union(new), "verified")
-        tried = pairs if tried is None else stage(tried.union(pairs), "tried")
-        roots = components(links)
-    if roots is None:
+    alone = members.withColumn("root", F.col("key"))
+    led = stage(_cross(alone, 0, bags, similarity), "pairs")
+    if led.isEmpty():
         classes = texts.select("key", "id", F.col("key").alias("class_key"), F.col("id").alias("class_id"))
         return rows, classes
+    roots = components(stage(verified(led, bags, similarity), "verified"))
+    classed = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rest = _cross(stage(classed, "classed"), None, bags, similarity).join(led, ["a", "b"], "left_anti")
+    links = verified(stage(rest, "pairs"), bags, similarity)
+    # links between classes: only their roots matter now
+    for side in ("a", "b"):
+        own = roots.select(F.col("key").alias(side), F.col("root").alias("_root"))
+        links = links.join(own, side, "left").withColumn(side, F.coalesce("_root", side)).drop("_root")
+    links = stage(links.where(F.col("a") != F.col("b")).distinct(), "links")
+    if not links.isEmpty():
+        above = components(links).select(F.col("key").alias("root"), F.col("root").alias("top"))
+        grown = roots.join(above, "root", "left").select("key", F.coalesce("top", "root").alias("root"))
+        roots = grown.unionByName(above.select(F.col("root").alias("key"), F.col("top").alias("root"))).distinct()
     rooted = texts.select("key", "id").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     rooted = stage(rooted, "rooted")
     lowest = rooted.groupBy("root").agg(F.min(F.struct("id", "key")).alias("low"))
@@ -309,18 +344,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _marked(value: Column) -> Column:
+    """An id as text that tells null from every value."""
+    return F.when(value.isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), value.cast("string")))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` without all but one of each class, the one with the smallest id.
 
     Texts without words are all kept; of rows that repeat an id with its text one is kept.
     """
     _, classes = text_classes(docs, id_col, text_col, similarity)
-    own, key, low = unused(docs, "own_key"), unused(docs, "key"), unused(docs, "low")
-    chosen = classes.where(F.col("key") == F.col("class_key")).select(F.col("key").alias(key), F.col("id").alias(low))
+    own, mark, key, low = (unused(docs, name) for name in ("own_key", "mark", "key", "low"))
+    chosen = classes.where(F.col("key") == F.col("class_key"))
+    chosen = chosen.select(F.col("key").alias(key), _marked(F.col("id")).alias(low))
     text = F.col(f"`{text_col}`")
     wordless = ~F.coalesce(text, F.lit("")).rlike(r"[^ \t\n\r\x0b\f]")
-    first = docs.where(~wordless).select("*", key_of(text).alias(own)).join(
-        chosen, (F.col(own) == F.col(key)) & F.col(f"`{id_col}`").eqNullSafe(F.col(low))
-    )
-    first = first.dropDuplicates([own, id_col]).select(*[F.col(f"`{name}`") for name in docs.columns])
+    rows = docs.where(~wordless).select("*", key_of(text).alias(own), _marked(F.col(f"`{id_col}`")).alias(mark))
+    first = rows.join(chosen, (F.col(own) == F.col(key)) & (F.col(mark) == F.col(low)))
+    # the join has dealt the rows out by what they are told apart by here
+    first = first.dropDuplicates([own, mark]).select(*[F.col(f"`{name}`") for name in docs.columns])
     return first.unionByName(docs.where(wordless))
