@@ -41,10 +41,11 @@ MIN_ASSIGNED = 12
 
 # What announces a credential.
 CONTEXT_WORDS = [*ASSIGN_WORDS, "pwd", "passphrase", "passcode", "api-key", "access_key", "access-key", "private_key", "private-key", "credential", "bearer", "kennwort", "passwort", "contraseña", "mot de passe"]
-CONTEXT = re.compile(
-    rf"""(?:{"|".join(sorted(map(re.escape, CONTEXT_WORDS), key=len, reverse=True))})s?["']?(?:\x20*(?:[:=]>?|is|ist|est|es)\x20*|\x20+)["'`]?([^\s"'`,;<>()]+)""",
-    re.I,
+CONTEXT = re.compile("|".join(sorted(map(re.escape, CONTEXT_WORDS), key=len, reverse=True)), re.I)
+GAP = re.compile(
+    r"""s?["'`]?(?:[ \t]*(?:(?:is|ist|est|es)(?=[ \t:="'`])[ \t]*[:=]*>?|[:=]+>?)[ \t]*|[ \t]+)""", re.I
 )
+VALUE = re.compile(r"""["'`]?([^\s"'`,;<>()]+)""")
 
 # Keyboard rows, words every guesser tries first, and signs that stand for letters.
 KEY_ROWS = ["1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./"]
@@ -143,18 +144,32 @@ def _value_end(text: str, start: int, end: int) -> int:
     return end
 
 
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """What stands after a context word and a gap; a value that is itself a context is left to that context."""
+    for word in CONTEXT.finditer(text):
+        gap = GAP.match(text, word.end())
+        value = VALUE.match(text, gap.end()) if gap else None
+        if value is None:
+            continue
+        start, end = value.start(1), _value_end(text, value.start(1), value.end(1))
+        inner = CONTEXT.match(text, start)
+        if inner and (inner.end() >= end or text[inner.end() : end] in ("s", "S") or GAP.match(text, inner.end())):
+            continue
+        yield start, end
+
+
 def guessed_spans(text: str, ranks: dict[str, int], base: list[Span], low: str) -> list[Span]:
     """Values in credential contexts that are expensive to guess and hold more than letters."""
     if not any(word in low for word in CONTEXT_WORDS):
         return []
-    found = []
-    for m in CONTEXT.finditer(text):
-        start, end = m.start(1), _value_end(text, m.start(1), m.end(1))
+    found: list[Span] = []
+    for start, end in candidates(text):
         value = text[start:end]
         if len(value) < 6 or value.isalpha() or not any(map(str.isalnum, value)):
             continue
         span = Span(start, "guess", end)
-        if not overlaps(span, base) and is_secret(value, ranks):
+        # one value may stand in several contexts, and a later context inside an earlier value
+        if not overlaps(span, base) and not overlaps(span, found[-1:]) and is_secret(value, ranks):
             found.append(span)
     return found
 

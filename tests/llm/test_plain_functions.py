@@ -165,6 +165,19 @@ def test_guessed_spans():
     assert not base and [text[s.start : s.end] for s in spans] == ["x9$kQ2!vLp7z"]
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "bearer token: {}", "the secret token is {}", "credentials password: {}", "token: Bearer {}", "password:\t{}",
+        "pwd\t=\t{}", "token token token {}", "passwort ist {}", "password is: {}", "token := {}", "secret token:{}", "{} token {}",
+    ],
+)
+def test_every_context_word_is_looked_at(text):
+    value = "x9$kQ2!vLp7z"
+    text = text.replace("{}", value)
+    assert [text[s.start : s.end] for s in secret_scan.find(text, {})[1]] == [value]
+
+
 def plain_stats(text):
     words = [m.group() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
