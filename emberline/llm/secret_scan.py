@@ -4,7 +4,8 @@ Plain findings (``base_spans``) are matches of three fixed forms. Beyond them, w
 password, key or token is expected is priced: a dynamic program finds the cheapest way to put the
 value together from dictionary words, dates, repeated characters, keyboard walks, runs of the alphabet
 and brute force, in powers of ten. Placeholders and ordinary words are cheap; what stays expensive
-however it is cut is a secret. The dictionary is learnt from the corpus: a word costs its rank.
+however it is cut is a secret. The dictionary is learnt from the corpus: a word costs its rank. Values
+after a sign of assignment or "bearer" are not learnt from, or a secret of letters would teach itself.
 
 Defined cases: a null text is an empty one, without findings; texts and values are read whole;
 repeated rows are judged row by row; an empty table gives an empty result and an empty dictionary;
@@ -86,21 +87,37 @@ def _stepping(low: str, step: int) -> list[int]:
     return _runs(low, lambda a, b: a.isalnum() and b.isalnum() and ord(b) - ord(a) == step)
 
 
-def guess_cost(value: str, ranks: dict[str, int]) -> float:
-    """Power of ten of the guesses for the cheapest segmentation of a value."""
+def _depths(ends: list[int]) -> list[int]:
+    """For each place, how far it lies inside its run."""
+    depths = [0] * len(ends)
+    for i in range(1, len(ends)):
+        if ends[i] == ends[i - 1]:
+            depths[i] = depths[i - 1] + 1
+    return depths
+
+
+def guess_cost(value: str, ranks: dict[str, int], limit: float = math.inf) -> float:
+    """Power of ten of the guesses for the cheapest segmentation of a value; infinite if it reaches ``limit``.
+
+    No price is negative, so whatever starts where the limit is reached can be left out. Deep inside a
+    run of one sign or of the alphabet no new run is begun, as the one begun before is cheaper.
+    """
     low = value.lower()
     plain = low.translate(LEET)
     size = len(low)
     repeats = _runs(low, str.__eq__)
     walks = _runs(low, _near)
     steps = [_stepping(low, 1), _stepping(low, -1)]
+    depths = [_depths(ends) for ends in (repeats, *steps)]
     cost = [0.0] + [math.inf] * size
 
     def offer(end: int, price: float) -> None:
-        if price < cost[end]:
+        if price < cost[end] and price < limit:
             cost[end] = price
 
     for i in range(size):
+        if cost[i] == math.inf:
+            continue
         here = cost[i] + (PER_SEGMENT if i else 0.0)
         # brute force grows one character at a time, as one segment
         offer(i + 1, cost[i] + brute_force(value[i]) + (0.0 if i else PER_SEGMENT))
@@ -112,12 +129,15 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
             if rank is not None:
                 cased = value[i:j] != low[i:j]
                 offer(j, here + math.log10(rank + 1) + (math.log10(4) if cased else 0.0))
-        for j in range(i + 3, repeats[i] + 1):
+        for j in range(i + 3, repeats[i] + 1 if depths[0][i] < 2 * LONGEST_WORD else 0):
             offer(j, here + math.log10(36 * (j - i)))
         for j in range(i + 3, walks[i] + 1):
-            offer(j, here + math.log10(48 * 4) + 0.5 * (j - i))
-        for ends in steps:
-            for j in range(i + 3, ends[i] + 1):
+            price = here + math.log10(48 * 4) + 0.5 * (j - i)
+            if price >= limit:
+                break
+            offer(j, price)
+        for ends, depth in zip(steps, depths[1:]):
+            for j in range(i + 3, ends[i] + 1 if depth[i] < 2 * LONGEST_WORD else 0):
                 offer(j, here + math.log10(72 * (j - i)))
         if low[i].isdigit():
             date = DATE.match(low, i)
@@ -144,8 +164,11 @@ def _value_end(text: str, start: int, end: int) -> int:
     return end
 
 
-def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """What stands after a context word and a gap; a value that is itself a context is left to that context."""
+def candidates(text: str) -> Iterator[tuple[int, int, bool]]:
+    """What stands after a context word and a gap, and if a sign of assignment or "bearer" announces it.
+
+    A value that is itself a context is left to that context.
+    """
     for word in CONTEXT.finditer(text):
         gap = GAP.match(text, word.end())
         value = VALUE.match(text, gap.end()) if gap else None
@@ -155,17 +178,30 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
         inner = CONTEXT.match(text, start)
         if inner and (inner.end() >= end or text[inner.end() : end] in ("s", "S") or GAP.match(text, inner.end())):
             continue
-        yield start, end
+        yield start, end, word.group().lower() == "bearer" or ":" in gap.group() or "=" in gap.group()
+
+
+def without_values(text: str) -> str:
+    """The text without values that are announced as credentials."""
+    low = text.lower()
+    if not any(word in low for word in CONTEXT_WORDS):
+        return text
+    kept, at = [], 0
+    for start, end, announced in candidates(text):
+        if announced and end > at:
+            kept.append(text[at : max(at, start)])
+            at = end
+    return "".join([*kept, text[at:]])
 
 
 def guessed_spans(text: str, ranks: dict[str, int], base: list[Span], low: str) -> list[Span]:
-    """Values in credential contexts that are expensive to guess and hold more than letters."""
+    """Values in credential contexts that are expensive to guess."""
     if not any(word in low for word in CONTEXT_WORDS):
         return []
     found: list[Span] = []
-    for start, end in candidates(text):
+    for start, end, _ in candidates(text):
         value = text[start:end]
-        if len(value) < 6 or value.isalpha() or not any(map(str.isalnum, value)):
+        if len(value) < 6 or not any(map(str.isalnum, value)):
             continue
         span = Span(start, "guess", end)
         # one value may stand in several contexts, and a later context inside an earlier value
@@ -177,9 +213,8 @@ def guessed_spans(text: str, ranks: dict[str, int], base: list[Span], low: str)
 def is_secret(value: str, ranks: dict[str, int]) -> bool:
     """Prose that is merely hyphenated or cut by marks is priced by its dearest part."""
     parts = [part for part in re.split(r"[-/.:_|]+", value) if part]
-    if parts and all(map(str.isalpha, parts)):
-        return False
-    return guess_cost(value, ranks) >= MIN_GUESSES
+    priced = parts if parts and all(map(str.isalpha, parts)) else [value]
+    return any(guess_cost(part, ranks, MIN_GUESSES) >= MIN_GUESSES for part in priced)
 
 
 def find(text: str, ranks: dict[str, int]) -> tuple[list[Span], list[Span]]:
@@ -195,14 +230,15 @@ def learn_dictionary(docs: DataFrame, text_col: str = "text", words: int = DICTI
     """Rank by frequency of the most frequent words of three letters or more; ties go by the word.
 
     Words are counted over all documents, first per batch and then by a shuffle, and ranked by a sort
-    over ranges; only the ``words`` top ones, of at most LONGEST_WORD letters, reach the driver.
+    over ranges; only the ``words`` top ones, of at most LONGEST_WORD letters, reach the driver. Announced
+    values are left out (``without_values``); a word that also stands elsewhere keeps its rank from there.
     """
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             counts: Counter[bytes] = Counter()
             for text in frame["text"]:
-                counts.update(utf8(text).lower().split())
+                counts.update(utf8(without_values(text or "")).lower().split())
             kept = []
             for word, count in counts.items():
                 shown = word.decode("utf-8", "replace").strip(".,;:!?\"'()")

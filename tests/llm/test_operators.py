@@ -193,6 +193,17 @@ def test_decontamination_runs_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
 
 
+# ---- secrets
+
+
+def test_a_secret_of_letters_does_not_teach_itself(spark):
+    texts = ["the description is required", "pwd: xkqzvbwpjhtmrgnl", "pwd: description"]
+    docs = frame(spark, texts)
+    ranks = secret_scan.learn_dictionary(docs)
+    assert "description" in ranks and "xkqzvbwpjhtmrgnl" not in ranks
+    assert {row["doc_id"]: row["spans"] for row in secret_scan.report(docs).collect()} == {0: "", 1: "guess:5:21", 2: ""}
+
+
 # ---- token counts
 
 

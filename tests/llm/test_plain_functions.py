@@ -178,6 +178,36 @@ def test_every_context_word_is_looked_at(text):
     assert [text[s.start : s.end] for s in secret_scan.find(text, {})[1]] == [value]
 
 
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("pwd: xkqzvbwpjhtmrgnl", "xkqzvbwpjhtmrgnl"), ("passphrase: kqzvbwpj-xhtmrgnl", "kqzvbwpj-xhtmrgnl"),
+        ("bearer qhZKvbXwplMT", "qhZKvbXwplMT"), ("token: xKqPzVbnMwL", "xKqPzVbnMwL"),
+    ],
+)
+def test_letters_are_priced(text, value):
+    assert [text[s.start : s.end] for s in secret_scan.find(text, {})[1]] == [value]
+
+
+def test_words_are_cheap_by_their_ranks():
+    ranks = {word: 5000 for word in ("authentication", "required", "description", "protected")}
+    for text in ["password: required", "pwd: authentication-required", "bearer authentication", "token description", "passwd = isProtected"]:
+        assert secret_scan.find(text, ranks)[1] == [], text
+
+
+def test_guess_cost_within_a_limit():
+    ranks = {"xxx": 24, "word": 30, "abc": 40}
+    for value in some_texts("xw0ord1abc!qeW", 1500, 25) + ["x" * 40, "abcdefghij" * 3, "wordxxxxxxword", "qwertyqwerty"]:
+        whole = secret_scan.guess_cost(value, ranks)
+        assert secret_scan.guess_cost(value, ranks, 10.0) == (whole if whole < 10 else math.inf)
+    assert secret_scan.guess_cost("x" * 20_000, ranks, 10.0) < 10
+
+
+def test_announced_values_are_not_learnt():
+    text = "pwd: xkqzvbwpj, token = abcdefg and the token economy; Bearer qhZKvbX, word"
+    assert secret_scan.without_values(text) == "pwd: , token =  and the token economy; Bearer , word"
+
+
 def plain_stats(text):
     words = [m.group() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
