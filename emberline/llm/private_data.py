@@ -96,7 +96,7 @@ DISGUISED_SIGN = re.compile(_class(READINGS))
 _words = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _digit = rf"(?:(?:{'|'.join(MULTIPLES)})\s+)?(?:{_words})"
 DIGIT_WORD = re.compile(rf"(?<!\w)(?:(double|triple)\s+)?({_words}|plus)(?!\w)", re.I)
-DIGIT_MARKS = {word.encode() for word in DIGIT_WORDS}
+DIGIT_MARKS = {word.encode() for word in [*DIGIT_WORDS, "plus"]}
 BETWEEN = re.compile(r"[\s,-]+")
 _open, _close = r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
 _at = rf"(?:{_open}(?:{'|'.join(AT_WORDS)}|@){_close}|\s+(?:{'|'.join(AT_WORDS)})\s+)"
@@ -105,7 +105,9 @@ AT, DOT = re.compile(_at, re.I), re.compile(_dot, re.I)
 NUMBER_DOT = re.compile(rf"(?<=[0-9])(?:{_dot})(?=[0-9])", re.I)
 SAID_DOMAIN = re.compile(rf"(?:{_at}|@)[A-Za-z0-9-]+(?:(?:{_dot}|\.)[A-Za-z0-9-]+)+", re.I)
 SAID_LOCAL_DOT = re.compile(rf"(?:{_dot})\Z", re.I)
-SIGNS_IN_WORDS = [*DOT_WORDS, *(f"{mark}{gap}at" for mark in "[({<" for gap in ("", " ")), "[.", "(.", "{.", "[@", "(@", "{@"]
+# what each rewriting by spoken_signs needs somewhere: a sign in brackets, or a dot in words
+BRACKETED_SIGN = re.compile(rf"[\[({{<]\s*(?:{'|'.join([*AT_WORDS, *DOT_WORDS])}|[@.])\s*[\])}}>]", re.I)
+WORDED_DOT = re.compile(rf"\s(?:{'|'.join(DOT_WORDS)})\s", re.I)
 _to_space = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
 
 
@@ -156,8 +158,9 @@ def spoken_digits(reading: Reading) -> Reading:
     """Digit words to digits, ``plus`` to its sign, and no gaps between digits of which one was a word."""
     text, edits = reading.text, []
     for m in DIGIT_WORD.finditer(text):
-        multiple, word = m.group(1), m.group(2).lower()
-        sign = "+" if word == "plus" else DIGIT_WORDS[word] * MULTIPLES.get((multiple or "").lower(), 1)
+        # a capital i with a dot matches i, and lower-casing leaves its dot as a sign of its own
+        multiple, word = (m.group(1) or "").lower(), m.group(2).lower().replace("\u0307", "")
+        sign = "+" if word == "plus" else DIGIT_WORDS[word] * MULTIPLES.get(multiple, 1)
         edits.append([m.start(), m.end(), sign])
     out: list[tuple[int, int, str]] = []
     for i, (start, end, sign) in enumerate(edits):
@@ -258,31 +261,39 @@ def base_spans(text: str) -> list[Span]:
     return ordered((Span(start, kind, end) for kind, start, end in matches(text)), KINDS)
 
 
-def read(text: str) -> Reading | None:
-    """The normalised reading of a text, or None if nothing in it is disguised."""
-    signs = not text.isascii() and DISGUISED_SIGN.search(text) is not None
-    reading = plain_signs(Reading.of(text)) if signs else None
-    seen = reading.text if reading else text
-    low = seen.lower()
-    words = low.encode("utf-8", "replace").translate(_to_space).split()
-    if sum(map(DIGIT_MARKS.__contains__, words)) >= 4:
-        reading = spoken_digits(reading or Reading.of(text))
-        seen, low = reading.text, reading.text.lower()
-    if any(mark in low for mark in SIGNS_IN_WORDS):
-        reading = spoken_signs(reading or Reading.of(text))
-    return reading
+def has_digit_words(text: str) -> bool:
+    if text.isascii():
+        return not DIGIT_MARKS.isdisjoint(text.lower().encode().translate(_to_space).split())
+    return DIGIT_WORD.search(text) is not None
+
+
+def has_said_signs(text: str) -> bool:
+    return BRACKETED_SIGN.search(text) is not None or WORDED_DOT.search(text) is not None
+
+
+def readings(text: str) -> list[Reading]:
+    """The normalised readings of a text, none if nothing in it is disguised.
+
+    Each transducer is left out only where it has nothing to rewrite. As a digit word that merely
+    follows a number is drawn to it, the text is also read with digit words as they stand.
+    """
+    plain = Reading.of(text) if text.isascii() else plain_signs(Reading.of(text))
+    first = [plain]
+    if has_digit_words(plain.text):
+        first.insert(0, spoken_digits(plain))
+    made = [spoken_signs(reading) if has_said_signs(reading.text) else reading for reading in first]
+    return [reading for reading in made if any(reading.changed)]
 
 
 def disguised_spans(text: str, base: list[Span]) -> list[Span]:
-    """Findings that only the normalised reading shows."""
-    reading = read(text)
-    if reading is None:
-        return []
+    """Findings that only a normalised reading shows; of overlapping ones of a kind the first reading's."""
     found: list[Span] = []
-    for kind, start, end in matches(reading.text):
-        span = reading.span(kind, start, end)
-        if span and not overlaps(span, (other for other in base if other.kind == kind)):
-            found.append(span)
+    for reading in readings(text):
+        taken = [*base, *found]
+        for kind, start, end in matches(reading.text):
+            span = reading.span(kind, start, end)
+            if span and not overlaps(span, (other for other in taken if other.kind == kind)):
+                found.append(span)
     return found
 
 

@@ -89,6 +89,46 @@ def test_disguised_spans_are_source_offsets(text, kind, part):
     assert [(s.kind, text[s.start : s.end]) for s in spans] == [(kind, part)]
 
 
+@pytest.mark.parametrize(
+    "text, kind, part",
+    [
+        ("host 192 dot 168 dot one dot one up", "ip", "192 dot 168 dot one dot one"),
+        ("call plus 44 triple five triple seven double two 1 ok", "phone", "plus 44 triple five triple seven double two 1"),
+        ("+49 30 12345 six seven", "phone", "+49 30 12345 six seven"),
+        ("ring plus 44 20 7946 0958", "phone", "plus 44 20 7946 0958"),
+        ("«plus 44 20 7946 0958»", "phone", "plus 44 20 7946 0958"),
+        ("juan[arroba]ejemplo.com", "email", "juan[arroba]ejemplo.com"),
+        ("juan (arobase) exemple.fr", "email", "juan (arobase) exemple.fr"),
+        ("jane <@> example.com", "email", "jane <@> example.com"),
+        ("jane [\tat] example.com", "email", "jane [\tat] example.com"),
+        ("card ４１１１１１１１１１１１１１１１ one of two", "card", "４１１１１１１１１１１１１１１１"),
+        ("one of two: 4111 one 11111111111", "card", "4111 one 11111111111"),
+    ],
+)
+def test_disguises_are_read_wherever_one_occurs(text, kind, part):
+    base, spans = private_data.find(text)
+    assert not base
+    assert [(s.kind, text[s.start : s.end]) for s in spans] == [(kind, part)]
+    assert masked(text, spans) == text.replace(part, f"<{kind.upper()}>")
+
+
+def test_dotted_capitals_are_read():
+    text = "host 10.0.0.nİne up"
+    assert [text[s.start : s.end] for s in private_data.find(text)[1]] == ["10.0.0.nİne"]
+
+
+def test_transducers_are_left_out_only_without_effect():
+    parts = ["at", "dot", "[", "]", "<", ">", " ", "\t", "@", ".", "x", "ann", "org", "1", "92", "one", "plus", "double", "-", "«", "Arroba", "PUNTO", "ſix"]
+    pick = random.Random(8)
+    for _ in range(20_000):
+        text = "".join(pick.choice(parts) for _ in range(pick.randint(0, 14)))
+        reading = private_data.Reading.of(text)
+        if not private_data.has_digit_words(text):
+            assert private_data.spoken_digits(reading).text == text
+        if not private_data.has_said_signs(text):
+            assert private_data.spoken_signs(reading).text == text
+
+
 def test_clean_prose_is_left_alone():
     for text in [
         "Meet at noon. Dot the i at home, at one.", "It came at last; the dot is small.", "one of the two", "", "plus one",
