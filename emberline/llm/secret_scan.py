@@ -5,7 +5,7 @@ password, key or token is expected is priced: a dynamic program finds the cheape
 value together from dictionary words, dates, repeated characters, keyboard walks, runs of the alphabet
 and brute force, in powers of ten. Placeholders and ordinary words are cheap; what stays expensive
 however it is cut is a secret. The dictionary is learnt from the corpus: a word costs its rank. Values
-after a sign of assignment or "bearer" are not learnt from, or a secret of letters would teach itself.
+after "bearer", "is" or a sign of assignment are not learnt from, or a secret of letters would teach itself.
 
 Defined cases: a null text is an empty one, without findings; texts and values are read whole;
 repeated rows are judged row by row; an empty table gives an empty result and an empty dictionary;
@@ -46,7 +46,12 @@ CONTEXT = re.compile("|".join(sorted(map(re.escape, CONTEXT_WORDS), key=len, rev
 GAP = re.compile(
     r"""s?["'`]?(?:[ \t]*(?:(?:is|ist|est|es)(?=[ \t:="'`])[ \t]*[:=]*>?|[:=]+>?)[ \t]*|[ \t]+)""", re.I
 )
-VALUE = re.compile(r"""["'`]?([^\s"'`,;<>()]+)""")
+# in quotes to the matching one, else to white space or to the next name of a list of assignments
+QUOTED = re.compile(r""""((?:[^"\\\n]|\\.)+)"|'((?:[^'\\\n]|\\.)+)'|`((?:[^`\\\n]|\\.)+)`""")
+BARE = re.compile(r"""["'`]?((?:(?![,;](?:[A-Z]?[a-z_]{2,}|[A-Z_]{2,})=)\S)+)""")
+CLOSING_TAG = re.compile(r"</\w+>")
+MARKS = re.compile(r"""[-/.:_|\s,;<>()"'`]+""")
+CLOSERS = {")": "(", "]": "[", "}": "{", ">": "<"}
 
 # Keyboard rows, words every guesser tries first, and signs that stand for letters.
 KEY_ROWS = ["1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./"]
@@ -158,27 +163,50 @@ def base_spans(text: str, low: str | None = None) -> list[Span]:
     return ordered(spans, KINDS)
 
 
-def _value_end(text: str, start: int, end: int) -> int:
-    while end > start and text[end - 1] in ".:!?]}":
-        end -= 1
-    return end
+def _stripped(text: str, start: int, end: int) -> tuple[int, int]:
+    """Without closing marks, tags and brackets that were not opened inside, nor brackets around it all."""
+    number = {sign: text.count(sign, start, end) for pair in CLOSERS.items() for sign in pair}
+    while end > start:
+        last = text[end - 1]
+        tag = CLOSING_TAG.fullmatch(text, max(start, text.rfind("<", start, end)), end) if last == ">" else None
+        if tag or last in CLOSERS and text[start] == CLOSERS[last]:
+            number[last] -= 1
+            number[CLOSERS[last]] -= 1
+            start, end = (start, tag.start()) if tag else (start + 1, end - 1)
+        elif last in CLOSERS and number[last] > number[CLOSERS[last]]:
+            number[last] -= 1
+            end -= 1
+        elif last in ".,:;!?\"'`":
+            end -= 1
+        else:
+            break
+    return start, max(start, end)
+
+
+def value_at(text: str, at: int) -> tuple[int, int, bool] | None:
+    """The whole value that begins at a place, with its quotes left out, and if it had some."""
+    quoted = QUOTED.match(text, at)
+    if quoted:
+        return (*quoted.span(quoted.lastindex), True)
+    bare = BARE.match(text, at)
+    return (*_stripped(text, *bare.span(1)), False) if bare else None
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, bool]]:
-    """What stands after a context word and a gap, and if a sign of assignment or "bearer" announces it.
+    """What stands after a context word and a gap, and if "bearer", "is" or a sign of assignment announces it.
 
     A value that is itself a context is left to that context.
     """
     for word in CONTEXT.finditer(text):
         gap = GAP.match(text, word.end())
-        value = VALUE.match(text, gap.end()) if gap else None
+        value = value_at(text, gap.end()) if gap else None
         if value is None:
             continue
-        start, end = value.start(1), _value_end(text, value.start(1), value.end(1))
+        start, end, quoted = value
         inner = CONTEXT.match(text, start)
-        if inner and (inner.end() >= end or text[inner.end() : end] in ("s", "S") or GAP.match(text, inner.end())):
+        if inner and (inner.end() >= end or text[inner.end() : end] in ("s", "S") or not quoted and GAP.match(text, inner.end())):
             continue
-        yield start, end, word.group().lower() == "bearer" or ":" in gap.group() or "=" in gap.group()
+        yield start, end, word.group().lower() == "bearer" or bool(gap.group().strip("sS \t\"'`"))
 
 
 def without_values(text: str) -> str:
@@ -199,20 +227,23 @@ def guessed_spans(text: str, ranks: dict[str, int], base: list[Span], low: str)
     if not any(word in low for word in CONTEXT_WORDS):
         return []
     found: list[Span] = []
-    for start, end, _ in candidates(text):
+    for start, end, announced in candidates(text):
         value = text[start:end]
         if len(value) < 6 or not any(map(str.isalnum, value)):
             continue
         span = Span(start, "guess", end)
-        # one value may stand in several contexts, and a later context inside an earlier value
-        if not overlaps(span, base) and not overlaps(span, found[-1:]) and is_secret(value, ranks):
+        # a plain finding may hold only the head of a value; a later context may stand inside an earlier value
+        if any(other.start <= start and end <= other.end for other in base) or overlaps(span, found[-1:]):
+            continue
+        # a quotation that merely follows is judged word by word
+        if any(is_secret(part, ranks) for part in ([value] if announced else value.split())):
             found.append(span)
     return found
 
 
 def is_secret(value: str, ranks: dict[str, int]) -> bool:
     """Prose that is merely hyphenated or cut by marks is priced by its dearest part."""
-    parts = [part for part in re.split(r"[-/.:_|]+", value) if part]
+    parts = [part for part in MARKS.split(value) if part]
     priced = parts if parts and all(map(str.isalpha, parts)) else [value]
     return any(guess_cost(part, ranks, MIN_GUESSES) >= MIN_GUESSES for part in priced)
 

@@ -248,6 +248,41 @@ def test_announced_values_are_not_learnt():
     assert secret_scan.without_values(text) == "pwd: , token =  and the token economy; Bearer , word"
 
 
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ('pwd = "x9;kQ2(vLp7z)!"', "x9;kQ2(vLp7z)!"), ("password: Tr0ub;dor&3x", "Tr0ub;dor&3x"),
+        ("pwd: 'x9 kQ2\"vLp7z' is it", 'x9 kQ2"vLp7z'), ('{"password": "x9,kQ2\\"vLp7z", "a": 1}', 'x9,kQ2\\"vLp7z'),
+        ("(pwd: x9<kQ2(v)Lp7z).", "x9<kQ2(v)Lp7z"), ("the token (x9$kQ2!vLp7z), then", "x9$kQ2!vLp7z"),
+        ("<td>pwd: x9$kQ2!vLp7z</td>", "x9$kQ2!vLp7z"), ("pwd=x9$kQ2!vLp7z;server=database1", "x9$kQ2!vLp7z"),
+        ("pwd: \"x9$kQ2!vLp7z\nand more", "x9$kQ2!vLp7z"),
+    ],
+)
+def test_values_are_read_whole(text, value):
+    assert [text[s.start : s.end] for s in secret_scan.find(text, {})[1]] == [value]
+
+
+def test_code_and_prose_with_marks_are_cheap():
+    ranks = {word: 900 for word in ("request", "tokenizer", "description", "sentence", "server", "database", "changeme")}
+    for text in [
+        "token = get(request)", 'the token "a description; a sentence, of 1984 words" and', "pwd=changeme;server=database", "token: <your-token>",
+        'password: "', "password: ()", "password: \"\"", "pwd: ''", "token </td>",
+    ]:
+        assert secret_scan.find(text, ranks)[1] == [], text
+
+
+def test_tails_of_plain_findings_are_covered():
+    text = "password: Abcdef123456;x9$kQ and token = 0123456789abcdef"
+    base, spans = secret_scan.find(text, {})
+    assert [text[s.start : s.end] for s in base][0] == "password: Abcdef123456"
+    assert [text[s.start : s.end] for s in spans if s.kind == "guess"] == ["Abcdef123456;x9$kQ"]
+
+
+def test_long_values_take_time_in_proportion():
+    for mark in ("!", ")", ">", "</b>", "(", "x", "a!", ";a="):
+        secret_scan.find("token: x" + mark * 20_000, {})
+
+
 def plain_stats(text):
     words = [m.group() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
