@@ -186,6 +186,28 @@ def test_leaks_with_substitutions(spark):
         assert {(row["doc_id"], row["item_id"]) for row in made} == set(brute_leaks(texts, items)) == set(plant.items())
 
 
+def test_short_items_are_found(spark):
+    pick = random.Random(31)
+    items, texts, plant = [], [], {}
+    for number in [*range(1, 20)] * 2:
+        words = [f"i{len(items)}x{k}" for k in range(number)]
+        items.append(" ".join(words))
+        for place in pick.sample(range(1, number - 1), 0 if number < 8 else 2 if number in (16, 17, 18) else 1):
+            words[place] = "other"
+        changed = sum(word == "other" for word in words)
+        plant[len(texts), len(items) - 1] = number - 2 * changed
+        texts.append(" ".join([*invented(1, 30, number), *words, "end"]))
+    for number in (8, 12, 14, 16, 19):  # too little of an item
+        items.append(" ".join(f"j{number}x{k}" for k in range(number)))
+        texts.append("a " + " ".join(f"j{number}x{k}" for k in range(number // 2)) + " b")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    for limit in (10**6, 0):
+        made = decontamination.find_leaks(frame(spark, texts), benchmark, broadcast_seeds=limit).collect()
+        found = {(row["doc_id"], row["item_id"]): row["overlap"] for row in made}
+        assert set(found) == set(plant)
+        assert all(found[key] >= score for key, score in plant.items())
+
+
 def test_decontamination_runs_no_python(spark):
     docs = frame(spark, invented(3, 30, 1))
     benchmark = docs.withColumnRenamed("doc_id", "item_id")
