@@ -7,21 +7,25 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from emberline.llm import (
     byte_bpe,
     decontamination,
+    hard_negatives,
     near_duplicates,
     pitman_yor,
     private_data,
     quality_classifier,
     quality_rules,
     secret_scan,
+    simhash_trie,
+    source_divergence,
     token_counts,
     url_reputation,
 )
 from emberline.llm.frames import documents
-from emberline.llm.sql import URL_REPUTATION
+from emberline.llm.sql import HARD_NEGATIVES, SOURCE_DIVERGENCE, URL_REPUTATION
 from emberline.llm.url_reputation import ALLOW, BLOCK, Rule
 from emberline.session import shared_dir, stage
 
@@ -86,6 +90,22 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(documents(spark, sf_dir))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    codes = hard_negatives.quantised(F.col("embedding"))
+    vectors = table.select(F.col("vec_id").alias("id"), label.alias("label"), codes.alias("codes"))
+    return hard_negatives.mine(vectors, F.col("id") % 100 == 0)
+
+
+def op13_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_trie.near_duplicates(documents(spark, sf_dir))
+
+
 LLM_BOOK: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_pitman_yor": (op1_pitman_yor, None),
     "op2_private_data": (op2_private_data, None),
@@ -97,4 +117,7 @@ LLM_BOOK: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_quality_rules": (op8_quality_rules, None),
     "op9_secret_scan": (op9_secret_scan, None),
     "op10_quality_classifier": (op10_quality_classifier, None),
+    "op11_source_divergence": (op11_source_divergence, SOURCE_DIVERGENCE),
+    "op12_hard_negatives": (op12_hard_negatives, HARD_NEGATIVES),
+    "op13_simhash_trie": (op13_simhash_trie, None),
 }

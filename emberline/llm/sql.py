@@ -65,3 +65,67 @@ SELECT page_id, named.host, path, rule,
          AS verdict
 FROM named JOIN rated ON rated.host = named.host
 """
+
+SOURCE_DIVERGENCE = r"""
+WITH read AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), uses AS (
+  SELECT doc, lang, source, unnest(terms) AS term FROM read
+), kept AS (
+  SELECT lang, term, count(*)::HUGEINT AS uses FROM uses GROUP BY lang, term HAVING count(DISTINCT doc) >= 3
+), groups AS (
+  SELECT DISTINCT lang, source FROM read
+), counts AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS n FROM uses JOIN kept USING (lang, term) GROUP BY ALL
+), sizes AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(uses)::HUGEINT AS total FROM kept GROUP BY lang
+), whole AS (
+  SELECT groups.lang, groups.source, coalesce(sum(n), 0)::HUGEINT AS total
+  FROM groups LEFT JOIN counts USING (lang, source) GROUP BY ALL
+), shares AS (
+  SELECT whole.lang, whole.source, kept.term, coalesce(n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(n, 0) + 1)) // (whole.total + v) AS p,
+         1 + (1000000000::HUGEINT * (uses + 1)) // (sizes.total + v) AS q
+  FROM whole JOIN kept USING (lang) JOIN sizes USING (lang) LEFT JOIN counts USING (lang, source, term)
+), valued AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN valued ON valued.lang = a.lang AND valued.source = a.source AND valued.item = b.source
+), above AS (
+  SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // q)::BIGINT AS value
+  FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM above)
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+HARD_NEGATIVES = """
+WITH whole AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * x::DOUBLE) FOR x IN embedding] AS codes
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)
+), scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, a.vec_id = r.vec_id AS own,
+         list_inner_product(a.codes, r.codes)::BIGINT AS score
+  FROM whole a, whole r WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same AND NOT own
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), ranked AS (
+  SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+  FROM positives JOIN scored USING (anchor_id)
+  WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
