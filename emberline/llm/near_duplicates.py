@@ -8,8 +8,8 @@ register. Two texts agree in a register with a probability equal to their simila
 
 Registers are grouped into bands. Texts that share a band are candidates, which are verified on their
 shingles, and verified links are joined into classes. No bucket is expanded into all its pairs: first
-every member is compared with a leader of its bucket; after that only members of different classes
-meet, and all of those do whose sketches, a second signature, don't rule it out, so no candidate link
+every member is compared with the leader of its bucket, the member that shares buckets with most others,
+as a group's original does with its copies; after that only members of different classes meet, and all of those do whose sketches, a second signature, don't rule it out, so no candidate link
 between classes is lost.
 
 Equal texts (up to case) are one text from the start, whatever their number. Intermediate tables go to
@@ -36,7 +36,8 @@ from emberline.session import stage
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, BAND_SIZE = 32, 6
-SKETCH = 256
+SKETCH_WORDS, PER_WORD = 72, 7
+SKETCH = SKETCH_WORDS * PER_WORD
 BATCH_SHINGLES = 400_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -228,35 +229,46 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
-def sketches_of(bags: DataFrame, registers: int = SKETCH) -> DataFrame:
-    """(key, sketch): a second signature of each bag, independent of the bands."""
+def sketches_of(bags: DataFrame) -> DataFrame:
+    """(key, sketch): a second signature of each bag, independent of the bands.
+
+    A byte of each register is kept, seven to a word, which lets words be compared without overflow.
+    """
+    shifts = np.arange(PER_WORD, dtype=np.uint64) * np.uint64(8)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for start in range(0, len(frame), 500):
                 part = frame.iloc[start : start + 500]
                 found = [_bag(packed) for packed in part["bag"]]
-                rows = signatures([(mixed(s.astype(np.uint64) + np.uint64(1)), n) for s, n in found], registers)
-                yield pd.DataFrame({"key": part["key"], "sketch": list((rows >> np.uint64(32)).astype(np.uint32).view(np.int32))})
+                rows = signatures([(mixed(s.astype(np.uint64) + np.uint64(1)), n) for s, n in found], SKETCH)
+                octets = (rows >> np.uint64(56)).reshape(len(rows), SKETCH_WORDS, PER_WORD)
+                words = np.bitwise_or.reduce(octets << shifts, axis=2)
+                yield pd.DataFrame({"key": part["key"], "sketch": list(words.astype(np.int64))})
 
-    return bags.mapInPandas(run, "key binary, sketch array<int>")
+    return bags.mapInPandas(run, "key binary, sketch array<bigint>")
 
 
 def _agreement(a: str, b: str) -> Column:
-    """In how many registers two sketches agree."""
-    same = F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0))
-    return F.aggregate(same, F.lit(0), lambda total, one: total + one)
+    """In how many registers two sketches agree: bytes that are zero in the difference of their words."""
+    low, high = (F.lit(sum(bits << 8 * k for k in range(PER_WORD))).cast("bigint") for bits in (0x7F, 0x80))
+
+    def differing(x: Column, y: Column) -> Column:
+        gap = x.bitwiseXOR(y)
+        return F.bit_count((gap.bitwiseAND(low) + low).bitwiseOR(gap).bitwiseAND(high))
+
+    return F.lit(SKETCH) - F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda total, one: total + one)
 
 
-def _cross(members: DataFrame, number: int | None, bags: DataFrame, similarity: float) -> DataFrame:
+def _cross(members: DataFrame, bags: DataFrame | None, similarity: float) -> DataFrame:
     """Pairs (a, b) of members of one bucket that are in different classes.
 
-    With a number: of each member with the bucket's leader, which the number chooses. Without: all
-    whose sketches let a similar pair seem possible, by four standard deviations of their estimate.
+    Without bags: of each member with the bucket's leader, the member of the greatest weight. With bags:
+    all whose sketches let a similar pair seem possible, by four standard deviations of their estimate.
     Two members that are in one class already are not compared, so a large class costs nothing here.
     """
-    if number is not None:
-        leader = F.min_by(F.struct("key", "root"), F.xxhash64(F.lit(number), "key")).alias("leader")
+    if bags is None:
+        leader = F.max_by(F.struct("key", "root"), F.struct("weight", "key")).alias("leader")
         led = members.join(members.groupBy("bucket").agg(leader), "bucket")
         pairs = led.where(F.col("root") != F.col("leader.root")).select("key", F.col("leader.key").alias("other"))
     else:
@@ -298,8 +310,11 @@ def text_classes(
         "texts",
     )
     placed = texts.select("key", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("bucket")
-    members = stage(placed.join(shared, "bucket"), "members")
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    members = placed.join(shared, "bucket")
+    # a text that many others share a bucket with lies in the middle of its group and leads best
+    weights = members.groupBy("key").agg(F.sum("n").alias("weight"))
+    members = stage(members.drop("n").join(weights, "key").select("key", "bucket", "weight"), "members")
     wanted = texts.join(members.select("key").distinct(), "key", "left_semi").select("key", "id")
     source = docs.select(
         F.col(f"`{id_col}`").alias("own"), key_of(F.col(f"`{text_col}`")).alias("own_key"), F.col(f"`{text_col}`").alias("text")
@@ -308,13 +323,13 @@ def text_classes(
     bags = stage(bags_of(found.select("key", "text")).dropDuplicates(["key"]), "bags")
 
     alone = members.withColumn("root", F.col("key"))
-    led = stage(_cross(alone, 0, bags, similarity), "pairs")
+    led = stage(_cross(alone, None, similarity), "pairs")
     if led.isEmpty():
         classes = texts.select("key", "id", F.col("key").alias("class_key"), F.col("id").alias("class_id"))
         return rows, classes
     roots = components(stage(verified(led, bags, similarity), "verified"))
     classed = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    rest = _cross(stage(classed, "classed"), None, bags, similarity).join(led, ["a", "b"], "left_anti")
+    rest = _cross(stage(classed, "classed"), bags, similarity).join(led, ["a", "b"], "left_anti")
     links = verified(stage(rest, "pairs"), bags, similarity)
     # links between classes: only their roots matter now
     for side in ("a", "b"):
