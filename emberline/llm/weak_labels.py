@@ -1,10 +1,19 @@
 """A label model for rules that vote or abstain, fitted by expectation-maximisation.
 
 Every rule says good, bad or nothing about a document. Nobody knows the truth; the model treats it as
-hidden and alternates between (E) the probability that each document is good, given how accurate the
-rules are believed to be, and (M) the rates at which each rule says good, bad or nothing about good
-and about bad documents. All a fit needs is how often each combination of votes occurs, and with R
-rules there are at most 3**R combinations however many documents there are.
+hidden and alternates between (E) the probability of each class for each document, given how the rules
+are believed to vote in it, and (M) the rates at which each rule says good, bad or nothing in each class.
+
+Rules depend on each other: a text of symbols alone is bare, has few letters and one top word, and says
+nothing of shouting. So the documents that aren't good may be of several kinds, one for each rule to
+begin with, and rules need be independent within a kind only. A model with one kind and one with a kind
+for each rule are fitted; the one that explains the votes better for its number of rates is kept
+(Akaike's criterion). In the model of kinds a rule is taken to err on one good document
+in a hundred at least, so a rare vote that no other rule shares proves nothing, while a frequent one is
+a kind of its own. A rule that calls most documents bad describes the corpus, and begins no kind.
+
+All a fit needs is how often each combination of votes occurs, and with R rules there are at most 3**R
+combinations however many documents there are.
 """
 
 from __future__ import annotations
@@ -19,27 +28,47 @@ ABSTAIN, GOOD, BAD = 0, 1, 2
 MAX_RULES = 10
 
 
+LEAST_ERROR = 0.01
+LEAST_PRIOR = 1e-6
+
+
 @dataclass(frozen=True)
 class LabelModel:
-    """``rates[k, r, v]``: how often rule r votes v on documents that are good (k=0) or bad (k=1)."""
+    """``rates[k, r, v]``: how often rule r votes v on documents of class k; class 0 is good, all others are bad."""
 
-    prior_good: float
+    priors: np.ndarray
     rates: np.ndarray
 
+    @property
+    def prior_good(self) -> float:
+        return float(self.priors[0])
+
     @property
     def accuracies(self) -> np.ndarray:
         """Per rule, the share of its votes that agree with the estimated truth."""
-        share = np.array([self.prior_good, 1 - self.prior_good])[:, None, None] * self.rates
-        right = share[0, :, GOOD] + share[1, :, BAD]
+        share = self.priors[:, None, None] * self.rates
+        right = share[0, :, GOOD] + share[1:, :, BAD].sum(axis=0)
         return right / np.maximum(share[:, :, GOOD:].sum(axis=(0, 2)), 1e-12)
 
+    def joint(self, votes: np.ndarray) -> np.ndarray:
+        """Logarithms of the probability of each class together with each row of votes."""
+        rule = np.arange(self.rates.shape[1])
+        return np.log(self.priors)[None, :] + np.log(self.rates)[:, rule, votes].sum(axis=2).T
+
+    def classes(self, votes: np.ndarray) -> np.ndarray:
+        """The probability of each class for each row of votes."""
+        logs = self.joint(votes)
+        odds = np.exp(logs - logs.max(axis=1, keepdims=True))
+        return odds / odds.sum(axis=1, keepdims=True)
+
     def posterior_good(self, votes: np.ndarray) -> np.ndarray:
         """The probability of good for each row of votes."""
-        logs = np.log(self.rates)
-        rule = np.arange(self.rates.shape[1])
-        good = np.log(self.prior_good) + logs[0][rule, votes].sum(axis=1)
-        bad = np.log(1 - self.prior_good) + logs[1][rule, votes].sum(axis=1)
-        return 1 / (1 + np.exp(np.clip(bad - good, -500, 500)))
+        return self.classes(votes)[:, 0]
+
+    def likelihood(self, votes: np.ndarray, weight: np.ndarray) -> float:
+        logs = self.joint(votes)
+        top = logs.max(axis=1)
+        return float(weight @ (top + np.log(np.exp(logs - top[:, None]).sum(axis=1))))
 
 
 def pattern(votes: list[int]) -> int:
@@ -54,31 +83,52 @@ def unpack(codes: np.ndarray, n_rules: int) -> np.ndarray:
     return (np.asarray(codes, dtype=np.int64)[:, None] // 3 ** np.arange(n_rules)) % 3
 
 
+def maximised(votes: np.ndarray, weight: np.ndarray, shares: np.ndarray, rounds: int, least_error: float) -> LabelModel:
+    """Expectation-maximisation from a first guess of the classes of each row of votes.
+
+    One pseudo document per class and rule, whose vote is right, keeps every rate positive.
+    """
+    n_classes, n_rules = shares.shape[1], votes.shape[1]
+    model = None
+    for _ in range(rounds):
+        rates = np.empty((n_classes, n_rules, 3))
+        for k in range(n_classes):
+            for vote in (ABSTAIN, GOOD, BAD):
+                right = (GOOD if k == 0 else BAD) == vote
+                rates[k, :, vote] = (weight * shares[:, k]) @ (votes == vote) + (1.0 if right else 0.1)
+        rates /= rates.sum(axis=2, keepdims=True)
+        rates[0, :, BAD] = np.maximum(rates[0, :, BAD], least_error)
+        rates[0] /= rates[0].sum(axis=1, keepdims=True)
+        priors = weight @ shares + np.array([1.0] + [1.0 / (n_classes - 1)] * (n_classes - 1))
+        priors = np.maximum(priors / priors.sum(), LEAST_PRIOR)
+        model = LabelModel(priors / priors.sum(), rates)
+        shares = model.classes(votes)
+    return model
+
+
 def fit_patterns(codes: np.ndarray, counts: np.ndarray, n_rules: int, rounds: int = 60) -> LabelModel:
     """Fit to combinations of votes and their counts.
 
-    The first guess is that documents with a bad vote are probably bad, which also fixes which of the
-    two hidden classes is the good one. One pseudo document per class and rule, whose vote is right,
-    keeps every rate positive. Without documents the model is that guess.
+    The first guess is that documents with a bad vote are probably bad, of the kind of that vote, which
+    also fixes which of the hidden classes is the good one. Without documents the model is that guess.
     """
     if n_rules > MAX_RULES:
         raise ValueError(f"at most {MAX_RULES} rules: the table of combinations must stay small")
     votes = unpack(codes, n_rules)
     weight = np.asarray(counts, dtype=np.float64)
-    n_good, n_bad = (votes == GOOD).sum(axis=1), (votes == BAD).sum(axis=1)
+    bad_share = weight @ (votes == BAD) / max(weight.sum(), 1.0)
+    telling = np.flatnonzero((bad_share > 0) & (bad_share <= 0.5))
+    n_good, said = (votes == GOOD).sum(axis=1), (votes == BAD)[:, telling]
+    n_bad = said.sum(axis=1)
     good = np.where(n_bad > 0, 0.15, np.where(n_good > 0, 0.95, 0.5))
-    model = None
-    for _ in range(rounds):
-        rates = np.empty((2, n_rules, 3))
-        for k, share in enumerate((weight * good, weight * (1 - good))):
-            for vote in (ABSTAIN, GOOD, BAD):
-                right = (GOOD if k == 0 else BAD) == vote
-                rates[k, :, vote] = share @ (votes == vote) + (1.0 if right else 0.1)
-        rates /= rates.sum(axis=2, keepdims=True)
-        prior = (weight @ good + 1) / (weight.sum() + 2) if len(weight) else 0.5
-        model = LabelModel(float(np.clip(prior, 1e-6, 1 - 1e-6)), rates)
-        good = model.posterior_good(votes) if len(weight) else good
-    return model
+    simple = maximised(votes, weight, np.stack([good, 1 - good], axis=1), rounds, 0.0)
+    if len(telling) < 2:
+        return simple
+    even = np.full(len(telling), 1.0 / len(telling))
+    kinds = np.where(n_bad[:, None] > 0, said / np.maximum(n_bad, 1)[:, None], even)
+    several = maximised(votes, weight, np.concatenate([good[:, None], (1 - good)[:, None] * kinds], axis=1), rounds, LEAST_ERROR)
+    gain = several.likelihood(votes, weight) - simple.likelihood(votes, weight)
+    return several if gain > (len(several.priors) - 2) * (2 * n_rules + 1) else simple
 
 
 def fit(votes: DataFrame, code: str, n_rules: int, rounds: int = 60) -> LabelModel:
@@ -91,11 +141,14 @@ def fit(votes: DataFrame, code: str, n_rules: int, rounds: int = 60) -> LabelMod
 
 
 def posterior(model: LabelModel, code: Column) -> Column:
-    """The posterior of good as an expression of the vote code: a sum of one weight per rule."""
-    logs = np.log(model.rates)
-    margin = F.lit(float(np.log(model.prior_good) - np.log(1 - model.prior_good)))
-    for rule in range(model.rates.shape[1]):
-        vote = F.floor(code / F.lit(3**rule)) % 3
-        weights = (logs[0, rule] - logs[1, rule]).tolist()
-        margin = margin + F.when(vote == GOOD, weights[GOOD]).when(vote == BAD, weights[BAD]).otherwise(weights[ABSTAIN])
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+    """The posterior of good as an expression of the vote code: odds of each kind against good."""
+    logs, priors = np.log(model.rates), np.log(model.priors)
+    votes = [F.floor(code / F.lit(3**rule)) % 3 for rule in range(model.rates.shape[1])]
+    odds = F.lit(0.0)
+    for k in range(1, len(priors)):
+        margin = F.lit(float(priors[k] - priors[0]))
+        for rule, vote in enumerate(votes):
+            weights = (logs[k, rule] - logs[0, rule]).tolist()
+            margin = margin + F.when(vote == GOOD, weights[GOOD]).when(vote == BAD, weights[BAD]).otherwise(weights[ABSTAIN])
+        odds = odds + F.exp(margin)
+    return F.lit(1.0) / (F.lit(1.0) + odds)
