@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.text import column
 from emberline.functions.times import event_or_ingest_time, window_start
+from emberline.operators.lateness import BEFORE, ORDER, Fold, fold_windows, keep_matching
 from emberline.operators.running import DEFAULT_SLICE_WIDTH, Track, running, slice_of
-from emberline.schemas import ALERT_THRESHOLD, RETAINED_WINDOWS, WINDOW_SECONDS
-from emberline.session import stage
+from emberline.schemas import ALERT_THRESHOLD, WINDOW_SECONDS
 
 GROUP = ["fingerprint", "window_start"]
 
@@ -30,125 +27,27 @@ def window_counts(events: DataFrame, window_seconds: int = WINDOW_SECONDS) -> Da
     )
 
 
-ORDER = ["seq", "source_id"]
-STATE = "fingerprint string, window_start timestamp, window_total bigint"
-
-
-def late_fingerprints(rows: DataFrame, window_seconds: int) -> DataFrame:
-    """Fingerprints that could have an event in a window which the late rule has dropped by then.
+def restarted(rows: DataFrame, restarts: DataFrame, slice_width: int = DEFAULT_SLICE_WIDTH) -> DataFrame:
+    """Rows with ``_epoch``: how often their window had begun again when they arrived.
 
-    That takes a window more than two later that began to arrive before the last event of this one.
-    For all others the running count is the plain one. Two aggregates, then a window over the
-    (fingerprint, window) totals.
+    The restarts pass by as rows of their own in front of the events that they are.
     """
-    arrival = F.struct(*ORDER)
-    spans = (
-        rows.where(F.col("window_start").isNotNull())
-        .groupBy("fingerprint", F.unix_seconds("window_start").alias("_second"))
-        .agg(F.min(arrival).alias("_first"), F.max(arrival).alias("_last"))
-    )
-    beyond = max(1, window_seconds) * RETAINED_WINDOWS + 1
-    later = Window.partitionBy("fingerprint").orderBy("_second").rangeBetween(beyond, Window.unboundedFollowing)
-    return (
-        spans.withColumn("_next", F.min("_first").over(later))
-        .where(F.col("_next") < F.col("_last"))
-        .select("fingerprint")
-        .distinct()
-    )
+    marks = restarts.withColumn("_mark", F.lit(0))
+    both = rows.withColumn("_mark", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    track = Track("_epoch", "sum", (F.col("_mark") == 0).cast("bigint"))
+    return running(both, GROUP, [*ORDER, "_mark"], [track], slice_width).where(F.col("_mark") == 1).drop("_mark")
 
 
-def _fold_runs(width: int):
-    """The late rule over runs of events in one window, in order of arrival.
+def _plain_and_restarted(rows: DataFrame, fold: Fold | None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of windows that begin once, rows of the others)."""
+    if fold is None:
+        return rows, None
+    again = fold.restarts.select(*GROUP).distinct()
+    return keep_matching(rows, again, GROUP, "left_anti"), keep_matching(rows, again, GROUP, "left_semi")
 
-    A run adds to its window's total. If the fingerprint then holds more than three windows, those more
-    than two before this one are dropped, and a later event there starts again from zero. The rows of
-    a partition are sorted and pass by in batches; only the windows held are in memory.
-    """
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, held = None, {}
-
-        def state() -> list[tuple]:
-            return [(current[0], None, second, total) for second, total in held.items()]
-
-        for frame in frames:
-            out = []
-            for fingerprint, run, second, n in zip(frame["fingerprint"], frame["_run"], frame["_second"], frame["_n"]):
-                second = None if pd.isna(second) else int(second)
-                if current is None or current[0] != fingerprint:
-                    out += state() if current else []
-                    current, held = (fingerprint,), {}
-                before = held.get(second, 0)
-                held[second] = before + int(n)
-                if run == 0:
-                    continue  # what an earlier batch has left
-                out.append((fingerprint, int(run), second, before))
-                known = [start for start in held if start is not None]
-                if second is not None and len(known) > RETAINED_WINDOWS + 1:
-                    oldest = second - width * RETAINED_WINDOWS
-                    held = {start: total for start, total in held.items() if start is None or start >= oldest}
-            yield _runs_frame(out)
-        if current:
-            yield _runs_frame(state())
-
-    return fold
-
-
-def _runs_frame(rows: list[tuple]) -> pd.DataFrame:
-    made = pd.DataFrame(rows, columns=["fingerprint", "_run", "_second", "_n"])
-    return made.astype({"_run": "Int64", "_second": "Int64", "_n": "Int64"})
-
-
-def count_by_arrival(
-    rows: DataFrame,
-    window_seconds: int,
-    slice_width: int = DEFAULT_SLICE_WIDTH,
-    stored: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """(rows with ``window_count``, the windows held in the end), by the late rule in order of arrival.
-
-    Consecutive events of a fingerprint in one window are a run, found and numbered by sliced running
-    values, so a hot fingerprint is spread over tasks; only its runs, one small row each, are folded in
-    order. ``stored`` holds the windows left by what arrived before.
-    """
-    key = ["fingerprint"]
-    window = F.struct("window_start")
-    before = running(rows, key, ORDER, [Track("_prev", "last", window)], slice_width, include_current=False)
-    opens = F.col("_prev").isNull() | ~F.col("_prev.window_start").eqNullSafe(F.col("window_start"))
-    runs = running(before, key, ORDER, [Track("_run", "sum", opens.cast("bigint"))], slice_width).drop("_prev")
-    totals = runs.groupBy("fingerprint", "_run", F.unix_seconds("window_start").alias("_second")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    if stored is not None:
-        totals = totals.unionByName(
-            stored.select(
-                "fingerprint", F.lit(0).cast("bigint").alias("_run"),
-                F.unix_seconds("window_start").alias("_second"), F.col("window_total").alias("_n"),
-            )
-        )
-    folded = stage(
-        totals.repartition("fingerprint")
-        .sortWithinPartitions("fingerprint", "_run", "_second")
-        .mapInPandas(_fold_runs(max(1, window_seconds)), "fingerprint string, _run bigint, _second bigint, _n bigint"),
-        "runs",
-    )
-    starts = folded.where(F.col("_run").isNotNull()).select(
-        F.col("fingerprint").alias("_f"), F.col("_run").alias("_r"), F.col("_n").alias("_before")
-    )
-    held = folded.where(F.col("_run").isNull()).select(
-        "fingerprint", F.timestamp_seconds("_second").alias("window_start"), F.col("_n").alias("window_total")
-    )
-    placed = running(runs, ["fingerprint", "_run"], ORDER, [Track("_place", "sum", F.lit(1).cast("bigint"))], slice_width)
-    same = F.col("fingerprint").eqNullSafe(F.col("_f")) & (F.col("_run") == F.col("_r"))
-    counted = placed.join(starts, same).withColumn("window_count", F.col("_before") + F.col("_place"))
-    return counted.drop("_f", "_r", "_before", "_place", "_run"), held
-
-
-def _by_lateness(rows: DataFrame, window_seconds: int) -> tuple[DataFrame, DataFrame]:
-    """(rows whose plain running count is right, rows that need the late rule)."""
-    late = stage(late_fingerprints(rows, window_seconds).select(F.col("fingerprint").alias("_f")), "late")
-    same = F.col("fingerprint").eqNullSafe(F.col("_f"))
-    return rows.join(late, same, "left_anti"), rows.join(late, same, "left_semi")
+def one() -> Column:
+    return F.lit(1).cast("bigint")
 
 
 def with_running_count(
@@ -158,13 +57,49 @@ def with_running_count(
 ) -> DataFrame:
     """Adds ``window_count``: how many events of the group arrived up to and including this one.
 
-    A window that the late rule has dropped counts from one again (``count_by_arrival``). Events
-    without any time form a group of their own.
+    A window that the late rule has dropped counts from one again (``lateness``). Events without any
+    time form a group of their own.
     """
-    plain, late = _by_lateness(with_window(events, window_seconds), window_seconds)
-    counted = running(plain, GROUP, ORDER, [Track("window_count", "sum", F.lit(1).cast("bigint"))], slice_width)
-    restarted, _ = count_by_arrival(late, window_seconds, slice_width)
-    return counted.unionByName(restarted)
+    rows = with_window(events, window_seconds)
+    fold = fold_windows(rows, window_seconds, slice_width)
+    plain, again = _plain_and_restarted(rows, fold)
+    counted = running(plain, GROUP, ORDER, [Track("window_count", "sum", one())], slice_width)
+    return counted if again is None else counted.unionByName(_count_restarted(again, fold, slice_width))
+
+
+def _count_restarted(rows: DataFrame, fold: Fold, slice_width: int) -> DataFrame:
+    epochs = restarted(rows, fold.restarts, slice_width)
+    return running(epochs, [*GROUP, "_epoch"], ORDER, [Track("window_count", "sum", one())], slice_width).drop("_epoch")
+
+
+def count_onto(
+    rows: DataFrame, stored: DataFrame, window_seconds: int, slice_width: int = DEFAULT_SLICE_WIDTH
+) -> tuple[DataFrame, Fold]:
+    """(events with ``window_count``, what the late rule did), going on from the windows ``stored``.
+
+    A stored total passes by as a row in front of the events of its window.
+    """
+    fold = fold_windows(rows, window_seconds, slice_width, stored)
+    first = stored.select("fingerprint", "window_start", F.lit(BEFORE).cast("bigint").alias("seq"), F.col("window_total").alias("_n"))
+    both = rows.withColumn("_n", one()).unionByName(first.withColumn("_given", F.lit(True)), allowMissingColumns=True)
+    plain, again = _plain_and_restarted(both, None if fold.restarts.isEmpty() else fold)
+    total = [Track("window_count", "sum", F.col("_n"))]
+    counted = running(plain, GROUP, ORDER, total, slice_width)
+    if again is not None:
+        epochs = restarted(again, fold.restarts, slice_width)
+        counted = counted.unionByName(running(epochs, [*GROUP, "_epoch"], ORDER, total, slice_width).drop("_epoch"))
+    return counted.where(F.col("_given").isNull()).drop("_n", "_given"), fold
+
+
+def held_after(counted: DataFrame, stored: DataFrame, fold: Fold) -> DataFrame:
+    """The windows held after the events counted, with their totals."""
+    totals = counted.select(*GROUP, F.struct(*ORDER).alias("_at"), "window_count").unionByName(
+        stored.select(*GROUP, F.col("window_total").alias("window_count")), allowMissingColumns=True
+    )
+    # stored totals have no arrival, which is before any
+    last = totals.groupBy(*GROUP).agg(F.max(F.struct("_at", "window_count")).alias("_end"))
+    held = last.select(*GROUP, F.col("_end.window_count").alias("window_total"))
+    return keep_matching(held, fold.dropped, GROUP, "left_anti")
 
 
 def _count_above(events: DataFrame, threshold: int, slice_width: int) -> DataFrame:
@@ -226,9 +161,12 @@ def detect_anomalies(
 
     Every level is counted; the level filter applies to the counted events only.
     """
-    plain, late = _by_lateness(with_window(events, window_seconds), window_seconds)
-    restarted, _ = count_by_arrival(late, window_seconds, slice_width)
-    counted = _count_above(plain, threshold, slice_width).unionByName(restarted)
+    rows = with_window(events, window_seconds)
+    fold = fold_windows(rows, window_seconds, slice_width)
+    plain, again = _plain_and_restarted(rows, fold)
+    counted = _count_above(plain, threshold, slice_width)
+    if again is not None:
+        counted = counted.unionByName(_count_restarted(again, fold, slice_width))
     return counted.where(is_anomaly("level", "window_count", threshold)).select(
         *anomaly_columns(detected_at)
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from emberline.schemas import DEFAULT_SOURCE_TYPE, LOG_LINES
@@ -67,6 +67,36 @@ def stream_log_lines(
     return _projected(reader.schema(LOG_LINES).format(file_format).load(path))
 
 
+SOURCE_BUCKETS = 64
+
+
+def source_bucket(source_id: Column) -> Column:
+    return F.pmod(F.xxhash64(source_id), F.lit(SOURCE_BUCKETS)).cast("int")
+
+
+def store_by_source(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store lines so that those of one source are found without reading the others.
+
+    Lines lie in folders by a hash of their source and, within a folder, sorted by source, so that row
+    groups of other sources are skipped too. A source of any size is spread over as many tasks and
+    files as its lines fill: rows are dealt out by source and a slice of their numbers.
+    """
+    placed = lines.withColumn("source_bucket", source_bucket(F.col("source_id")))
+    slices = F.expr(f"seq div {LINES_PER_FILE}")
+    dealt = placed.repartition("source_bucket", slices).sortWithinPartitions("source_bucket", "source_id", "seq")
+    dealt.write.mode(mode).partitionBy("source_bucket").parquet(path)
+
+
+LINES_PER_FILE = 4_000_000
+
+
+def read_source(spark: SparkSession, path: str, source_id: str) -> DataFrame:
+    """The lines of one source from a table that ``store_by_source`` wrote."""
+    bucket = spark.range(1).select(source_bucket(F.lit(source_id))).first()[0]
+    lines = spark.read.schema(f"{LOG_LINES}, source_bucket int").parquet(path)
+    return _projected(lines.where((F.col("source_bucket") == bucket) & (F.col("source_id") == source_id)))
+
+
 def kafka_log_lines(records: DataFrame) -> DataFrame:
     """Lines from records of the Kafka connector: key = source, one source per partition.
 

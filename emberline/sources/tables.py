@@ -7,7 +7,9 @@ reads the buckets of the keys it touches, and the next version holds those anew
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,21 +160,154 @@ class KeyedTable:
         drop_old_version(spark, self._manifests, version, self.keep)
 
 
+@dataclass(frozen=True)
+class CommittedOutput:
+    """What a stream hands on: one folder per micro-batch, and a mark for every batch that is complete.
+
+    Readers see marked batches only, and a marked batch is never written again: a retry finds the mark
+    and leaves it alone. So whoever reads by batch number reads every row once. The mark is the last thing
+    that a step writes; before that, a retry replaces its own folder.
+    """
+
+    path: str
+
+    @property
+    def rows(self) -> str:
+        return f"{self.path.rstrip('/')}/rows"
+
+    def _mark(self, batch_id: int) -> str:
+        return f"{self.path.rstrip('/')}/marks/{batch_id}"
+
+    def has(self, spark: SparkSession, batch_id: int) -> bool:
+        return _exists(spark, self._mark(batch_id))
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.rows}/batch_id={batch_id}")
+
+    def commit(self, spark: SparkSession, batch_id: int) -> None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(self._mark(batch_id))
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(place)
+
+    def batches(self, spark: SparkSession) -> list[int]:
+        return sorted(int(name) for name in _children(spark, f"{self.path.rstrip('/')}/marks"))
+
+    def batch(self, spark: SparkSession, batch_id: int, schema) -> DataFrame:
+        """One batch; it must be committed."""
+        if not self.has(spark, batch_id):
+            raise MissingSnapshot(f"{self.path} has no complete batch {batch_id}")
+        return spark.read.schema(schema).parquet(f"{self.rows}/batch_id={batch_id}")
+
+    def read(self, spark: SparkSession, schema) -> DataFrame:
+        """All complete batches, without their numbers."""
+        places = [f"{self.rows}/batch_id={batch}" for batch in self.batches(spark)]
+        return spark.read.schema(schema).parquet(*places) if places else spark.createDataFrame([], schema)
+
+
 def incident_table(path: str, buckets: int = 64) -> KeyedTable:
     return KeyedTable(path, INCIDENTS, ("fingerprint", "source_id"), buckets)
 
 
+EVENT_BUCKETS = 64
+MERGE = 8
+
+
+def event_bucket(incident: Column) -> Column:
+    """Where the events of an incident are."""
+    return F.pmod(F.xxhash64(incident), F.lit(EVENT_BUCKETS)).cast("int")
+
+
+@dataclass(frozen=True)
+class EventLog:
+    """An append table in buckets by incident id, whose folders are merged as they become many.
+
+    Batch n writes one folder and then manifest n, the folders that hold the batches up to n. When
+    ``merge`` folders of one size class have gathered they are merged into one of the next class, so a
+    table of n batches has a number of folders that grows with the logarithm of n, and a row is rewritten
+    that often. A retry of the newest batch starts from manifest n - 1 and replaces its own folders; one
+    of an older batch, whose rows may have been merged since, replaces its rows in whatever holds them.
+    """
+
+    path: str
+    merge: int = MERGE
+
+    @property
+    def _manifests(self) -> str:
+        return f"{self.path.rstrip('/')}/_manifest"
+
+    def _folders(self, spark: SparkSession, version: int) -> list[tuple[str, int]]:
+        rows = read_version(spark, self._manifests, version, "folder string, class int").collect()
+        return sorted((row["folder"], row["class"]) for row in rows)
+
+    def _write(self, rows: DataFrame, folder: str) -> None:
+        placed = rows.withColumn("bucket", event_bucket(F.col("incident_id")))
+        placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path.rstrip('/')}/{folder}")
+
+    def _read(self, spark: SparkSession, folders: list[str], buckets: bool = False) -> DataFrame:
+        schema = f"{INCIDENT_EVENTS}, batch_id int, bucket int"
+        frames = [spark.read.schema(schema).parquet(f"{self.path.rstrip('/')}/{folder}") for folder in folders]
+        rows = reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], schema)
+        return rows if buckets else rows.drop("bucket")
+
+    def append(self, events: DataFrame, batch_id: int) -> None:
+        spark = events.sparkSession
+        rows = events.withColumn("batch_id", F.lit(batch_id))
+        newest = latest_version(spark, self._manifests)
+        if newest > batch_id:
+            return self._replace(rows, batch_id, newest)
+        before = self._folders(spark, newest if newest < batch_id else self._before(spark, batch_id))
+        self._write(rows, f"b{batch_id}")
+        held = [*before, (f"b{batch_id}", 0)]
+        size = 0
+        while len(same := [folder for folder, klass in held if klass == size]) >= self.merge:
+            merged = f"m{batch_id}-{size + 1}"
+            self._write(self._read(spark, same), merged)
+            held = [(folder, klass) for folder, klass in held if klass != size] + [(merged, size + 1)]
+            size += 1
+        self._publish(spark, held, batch_id)
+
+    def _before(self, spark: SparkSession, batch_id: int) -> int:
+        """The newest version older than a batch; batches without events may have none of their own."""
+        names = [int(name.removeprefix("v=")) for name in _children(spark, self._manifests) if name.startswith("v=")]
+        return max((version for version in names if version < batch_id), default=-1)
+
+    def _replace(self, rows: DataFrame, batch_id: int, newest: int) -> None:
+        spark = rows.sparkSession
+        held = self._folders(spark, newest)
+        others = self._read(spark, [folder for folder, _ in held]).where(F.col("batch_id") != batch_id)
+        whole = f"r{newest}-{uuid.uuid4().hex}"
+        self._write(others.unionByName(rows), whole)
+        self._publish(spark, [(whole, max(klass for _, klass in held))], newest)
+
+    def _publish(self, spark: SparkSession, held: list[tuple[str, int]], version: int) -> None:
+        manifest = spark.createDataFrame(held, "folder string, class int").coalesce(1)
+        write_version(manifest, self._manifests, version)
+        kept = {folder for v in range(max(0, version - 2), version + 1) if _exists(spark, version_path(self._manifests, v) + "/_SUCCESS") for folder, _ in self._folders(spark, v)}
+        for name in _children(spark, self.path):
+            if name[0] in "bmr" and name not in kept:
+                _delete(spark, f"{self.path.rstrip('/')}/{name}")
+        drop_old_version(spark, self._manifests, version)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        """All events, each with the batch that wrote it."""
+        newest = latest_version(spark, self._manifests)
+        return self._read(spark, [] if newest < 0 else [folder for folder, _ in self._folders(spark, newest)])
+
+    def of_incident(self, spark: SparkSession, incident: str) -> DataFrame:
+        """The events of one incident: only its bucket is read, in however many folders there are."""
+        newest = latest_version(spark, self._manifests)
+        rows = self._read(spark, [] if newest < 0 else [folder for folder, _ in self._folders(spark, newest)], buckets=True)
+        bucket = spark.range(1).select(event_bucket(F.lit(incident))).first()[0]
+        return rows.where((F.col("bucket") == bucket) & (F.col("incident_id") == incident)).drop("bucket")
+
+
 def append_incident_events(events: DataFrame, path: str, batch_id: int) -> None:
-    """Add events under ``batch_id``; a retry of the batch overwrites what it wrote before."""
-    events.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+    """Add events under ``batch_id``; a retry of the batch replaces what it wrote before."""
+    EventLog(path).append(events, batch_id)
 
 
 def read_incident_events(spark: SparkSession, path: str) -> DataFrame:
     """All events with the batch that wrote them; none if the table is empty or absent."""
-    schema = f"{INCIDENT_EVENTS}, batch_id int"
-    if not _children(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return EventLog(path).read(spark)
 
 
 def append_samples(samples: DataFrame, path: str, batch_id: int) -> None:

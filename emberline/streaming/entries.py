@@ -68,7 +68,11 @@ def split_open(
 
 @dataclass(frozen=True)
 class EntryStream:
-    """Where a stream of entries keeps its output and its state."""
+    """Where a stream of entries keeps its output and its state.
+
+    An entry that may still grow is finished when a pause has passed, by the machine's clock; with
+    ``arrival_clock`` by the newest line of any source, which gives a replay the same entries.
+    """
 
     output: str
     state: str
@@ -76,21 +80,29 @@ class EntryStream:
     idle_ms: int = IDLE_FLUSH_MS
     slice_width: int = DEFAULT_SLICE_WIDTH
     use_clock: bool = True
+    arrival_clock: bool = False
 
-    def process(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch. A retry reads the same prior state and overwrites its own output."""
+    def process(self, batch: DataFrame, batch_id: int, last: bool = False) -> None:
+        """One micro-batch. A retry reads the same prior state and overwrites its own output.
+
+        ``last`` finishes what would stay open.
+        """
         spark = batch.sparkSession
         prior = read_version(spark, self.state, batch_id - 1, LOG_LINES)
         names = [field.split()[0] for field in LOG_LINES.split(", ")]
         now = dt.datetime.now(dt.timezone.utc) if self.use_clock else None
         arrived = batch.where(F.col("line").isNotNull()).select(*names)
         lines = prior.unionByName(arrived)
+        if self.arrival_clock:
+            now = lines.agg(F.max("received_at")).first()[0]
         segmented = stage(
             segment_entries(lines, self.max_lines, self.idle_ms, self.slice_width),
             "segmented",
             f"{self.state}-segmented/v={batch_id}",
         )
         finished, opened = split_open(segmented, now, self.max_lines, self.idle_ms)
+        if last:
+            finished, opened = assemble_entries(segmented), opened.limit(0)
         finished.write.mode("overwrite").parquet(f"{self.output}/batch_id={batch_id}")
         write_version(opened, self.state, batch_id)
         for path in (self.state, f"{self.state}-segmented"):

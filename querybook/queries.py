@@ -15,7 +15,7 @@ from emberline.operators.dashboard import View
 from emberline.plans.pipeline import Outcome, incidents_of, recent_cards
 from emberline.session import shared_dir, stage
 from emberline.sources import tables as stored
-from emberline.sources.log_lines import in_arrival_order, kafka_log_lines, read_log_lines
+from emberline.sources.log_lines import in_arrival_order, kafka_log_lines, read_log_lines, read_source, store_by_source
 from querybook import sql
 from querybook import tables as given
 from querybook.tables import SETTINGS, THRESHOLD, WINDOW, shown
@@ -94,6 +94,14 @@ def select_source(spark, d):
     return dashboard.select_source(given.log_lines(spark, d), "c-7").select("source_id", "line", "seq")
 
 
+@registered(sql.query([sql.LINES], "SELECT source_id, line, seq FROM lines WHERE source_id = 'c-7'"))
+def select_stored_source(spark, d):
+    """The same from lines stored by source, of which only one folder is read."""
+    folder = fresh_folder(spark, "by-source")
+    store_by_source(given.log_lines(spark, d), folder)
+    return read_source(spark, folder, "c-7").select("source_id", "line", "seq")
+
+
 _ENTRY_COLUMNS = f"SELECT source_id, source_name, {sql.fmt('seen')} AS seen, message, line_count, entry_seq FROM entries"
 
 
@@ -341,6 +349,20 @@ def events_of_incident(spark, d):
     return shown(incidents.find_events(events, chosen or "").drop("id"))
 
 
+@registered(
+    sql.to_fold(f"SELECT {sql.EVENT_COLUMNS} FROM incident_events WHERE incident_id = (SELECT max(id) FROM incidents)")
+)
+def stored_events_of_incident(spark, d):
+    """The same from an event table written in portions that were merged on the way; one bucket is read."""
+    log = stored.EventLog(fresh_folder(spark, "event-log"), merge=2)
+    events = stage(_outcome(spark, d).fold.events, "events")
+    chosen, last = events.agg(F.max("incident_id"), F.max("seq")).first()
+    part = F.expr(f"seq * 5 div {(last or 0) + 1}")
+    for batch in range(5):
+        log.append(events.where(part == batch), batch)
+    return shown(log.of_incident(spark, chosen or "").drop("id", "batch_id"))
+
+
 _HISTORY = f"SELECT i.id AS incident_id, i.status AS incident_status, e.type, {sql.fmt('e.created_at')} AS created_at, e.seq FROM incidents i JOIN incident_events e ON i.id = e.incident_id"
 
 

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from emberline.operators.incidents import numbered_samples
 from emberline.sources import tables as stored
+from emberline.schemas import LOG_LINES
+from emberline.sources.arrivals import ArrivalStream
 from emberline.sources.log_lines import stream_log_lines
-from emberline.streaming.counts import CountStream, watermarked_counts
+from emberline.streaming.chain import LogChain, tag_inputs
+from emberline.streaming.counts import CountStream, OnTimeStream, watermarked_counts
 from emberline.streaming.entries import EntryStream
 from emberline.streaming.incidents import IncidentStream, tag_records
 from emberline.streaming.stateful import stateful_running_count as stateful_counts
@@ -145,3 +148,86 @@ def stream_incidents(spark, d):
 def stream_incident_samples(spark, d):
     """The samples that a stream has gathered are those of one run over everything."""
     return numbered_samples(stored.read_samples(spark, _incident_stream(spark, d).samples))
+
+
+_PORTION = f"least((seq * {PARTS}) // ((SELECT max(seq) FROM lines) + 1), {PARTS - 1})"
+
+
+@registered(
+    sql.query(
+        [sql.LINES],
+        f"""SELECT source_id, line, seq AS source_seq,
+        row_number() OVER (ORDER BY {_PORTION}, received_at, source_id, seq) - 1 AS seq FROM lines""",
+    )
+)
+def stream_arrival_order(spark, d):
+    """Numbers without gaps over three portions of a line stream, each portion a micro-batch."""
+    output, checkpoint = fresh_folder(spark, "numbered"), fresh_folder(spark, "checkpoint")
+    stream = ArrivalStream(output, fresh_folder(spark, "next-number"))
+    for place in _arrivals(given.log_lines(spark, d), "seq", "lines"):
+        stream.start(stream_log_lines(spark, place), checkpoint).awaitTermination()
+    numbered = stored.CommittedOutput(output).read(spark, f"{LOG_LINES}, source_seq bigint")
+    return numbered.select("source_id", "line", "source_seq", "seq")
+
+
+def _chain(spark, d) -> LogChain:
+    """Lines and commands in three portions through the whole chain, then the end of the stream."""
+    events = given.table(spark, d, "events")
+    chain = LogChain(
+        fresh_folder(spark, "chain"), given.SETTINGS, buckets=8,
+        enrich=lambda found: given.with_given_summaries(found, events),
+    )
+    inputs = tag_inputs(given.log_lines(spark, d), given.commands(spark, d))
+    inputs, checkpoint = inputs.withColumn("seq", F.coalesce("line.seq", "command.seq")), fresh_folder(spark, "checkpoint")
+    for place in _arrivals(inputs, "seq", "inputs"):
+        chain.start(_stream(spark, place, inputs.schema), checkpoint).awaitTermination()
+    chain.flush(spark)
+    return chain
+
+
+@registered(sql.to_fold(f"SELECT {sql.INCIDENT_COLUMNS} FROM incidents"))
+def stream_lines_to_incidents(spark, d):
+    """The incidents that the joined stream holds are those of one run over all lines and commands."""
+    table = _chain(spark, d).incidents.table
+    return shown(table.read(spark, table.latest(spark)).drop("tags"))
+
+
+LATENESS = 2 * 86_400
+_JUDGED = f"""timed AS (
+  SELECT *, epoch_us(coalesce(event_time, ingest_time)) // 1000000 AS second,
+         least((seq * {PARTS}) // ((SELECT max(seq) FROM log_events) + 1), {PARTS - 1}) AS portion FROM log_events
+), newest AS (
+  SELECT p.portion, (SELECT max(second) FROM timed t WHERE t.portion < p.portion) - {LATENESS} AS mark
+  FROM (SELECT DISTINCT portion FROM timed) p
+), judged AS (
+  SELECT timed.*, mark, second // {WINDOW} * {WINDOW} AS window_second,
+         coalesce(second // {WINDOW} * {WINDOW} + {WINDOW} <= mark, false) AS late
+  FROM timed JOIN newest USING (portion)
+)"""
+_EVENTS = [sql.LINES, sql.entries(500, 800), sql.EVENTS, _JUDGED]
+
+
+def _on_time(spark, d) -> OnTimeStream:
+    place = fresh_folder(spark, "on-time")
+    stream = OnTimeStream(f"{place}/totals", f"{place}/late", f"{place}/newest", WINDOW, LATENESS)
+    checkpoint = fresh_folder(spark, "checkpoint")
+    for events in _event_streams(spark, d):
+        stream.start(events, checkpoint).awaitTermination()
+    return stream
+
+
+@registered(sql.query(_EVENTS, "SELECT fingerprint, window_second, count(*) AS window_total FROM judged WHERE NOT late GROUP BY ALL"))
+def stream_on_time_totals(spark, d):
+    """Window totals that leave out what came two days after its window had ended."""
+    totals = _on_time(spark, d).totals(spark)
+    return totals.select("fingerprint", F.unix_seconds("window_start").alias("window_second"), "window_total")
+
+
+@registered(sql.query(_EVENTS, "SELECT fingerprint, window_second, source_id, seq, level, mark FROM judged WHERE late"))
+def stream_late_events(spark, d):
+    """The events that those totals leave out, each with the watermark that it missed."""
+    late = spark.read.parquet(_on_time(spark, d).late)
+    return late.select(
+        "fingerprint", F.unix_seconds("window_start").alias("window_second"), "source_id", "seq", "level",
+        F.unix_seconds("watermark").alias("mark"),
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from emberline.operators.entries import log_entries, segment_entries
 from emberline.schemas import LOG_LINES
 from emberline.sources import tables as stored
-from emberline.operators.counting import STATE
+from emberline.operators.lateness import STATE
 from emberline.operators.incidents import numbered_samples
 from emberline.streaming.counts import CountStream, count_batch
 from emberline.streaming.entries import EntryStream, split_open
