@@ -8,9 +8,9 @@ Rules depend on each other: a text of symbols alone is bare, has few letters and
 nothing of shouting. So the documents that aren't good may be of several kinds, one for each rule to
 begin with, and rules need be independent within a kind only. A model with one kind and one with a kind
 for each rule are fitted; the one that explains the votes better for its number of rates is kept
-(Akaike's criterion). In the model of kinds a rule is taken to err on one good document
-in a hundred at least, so a rare vote that no other rule shares proves nothing, while a frequent one is
-a kind of its own. A rule that calls most documents bad describes the corpus, and begins no kind.
+(Akaike's criterion). In the model of kinds a rule is taken to err on one to five good documents in a
+hundred, so a rare vote that no other rule shares proves nothing, while a frequent one is a kind of its
+own. A rule that calls most documents bad describes the corpus, and begins no kind.
 
 All a fit needs is how often each combination of votes occurs, and with R rules there are at most 3**R
 combinations however many documents there are.
@@ -28,7 +28,7 @@ ABSTAIN, GOOD, BAD = 0, 1, 2
 MAX_RULES = 10
 
 
-LEAST_ERROR = 0.01
+LEAST_ERROR, MOST_ERROR = 0.01, 0.05
 LEAST_PRIOR = 1e-6
 
 
@@ -83,22 +83,34 @@ def unpack(codes: np.ndarray, n_rules: int) -> np.ndarray:
     return (np.asarray(codes, dtype=np.int64)[:, None] // 3 ** np.arange(n_rules)) % 3
 
 
-def maximised(votes: np.ndarray, weight: np.ndarray, shares: np.ndarray, rounds: int, least_error: float) -> LabelModel:
+def maximised(
+    votes: np.ndarray, weight: np.ndarray, shares: np.ndarray, rounds: int, kinds: np.ndarray | None = None
+) -> LabelModel:
     """Expectation-maximisation from a first guess of the classes of each row of votes.
 
-    One pseudo document per class and rule, whose vote is right, keeps every rate positive.
+    One pseudo document per class keeps every rate positive. With one bad class its votes are right;
+    with ``kinds``, the rule that begins each bad class, it is right by that rule and like all documents
+    by the others. The rate at which those rules call good documents bad is kept between two limits.
     """
     n_classes, n_rules = shares.shape[1], votes.shape[1]
+    counted = np.stack([weight @ (votes == vote) for vote in (ABSTAIN, GOOD, BAD)], axis=1)
+    pseudo = np.full((n_classes, n_rules, 3), 0.1)
+    pseudo[0, :, GOOD] = 1.0
+    if kinds is None:
+        pseudo[1:, :, BAD] = 1.0
+    else:
+        pseudo[1:] += counted / max(weight.sum(), 1.0)
+        pseudo[np.arange(1, n_classes), kinds] = [0.1, 0.1, 1.0]
     model = None
     for _ in range(rounds):
-        rates = np.empty((n_classes, n_rules, 3))
-        for k in range(n_classes):
-            for vote in (ABSTAIN, GOOD, BAD):
-                right = (GOOD if k == 0 else BAD) == vote
-                rates[k, :, vote] = (weight * shares[:, k]) @ (votes == vote) + (1.0 if right else 0.1)
+        rates = pseudo.copy()
+        for vote in (ABSTAIN, GOOD, BAD):
+            rates[:, :, vote] += (weight[:, None] * shares).T @ (votes == vote)
         rates /= rates.sum(axis=2, keepdims=True)
-        rates[0, :, BAD] = np.maximum(rates[0, :, BAD], least_error)
-        rates[0] /= rates[0].sum(axis=1, keepdims=True)
+        if kinds is not None:
+            error = np.clip(rates[0, kinds, BAD], LEAST_ERROR, MOST_ERROR)
+            rates[0, kinds] *= ((1 - error) / (1 - rates[0, kinds, BAD]))[:, None]
+            rates[0, kinds, BAD] = error
         priors = weight @ shares + np.array([1.0] + [1.0 / (n_classes - 1)] * (n_classes - 1))
         priors = np.maximum(priors / priors.sum(), LEAST_PRIOR)
         model = LabelModel(priors / priors.sum(), rates)
@@ -121,12 +133,14 @@ def fit_patterns(codes: np.ndarray, counts: np.ndarray, n_rules: int, rounds: in
     n_good, said = (votes == GOOD).sum(axis=1), (votes == BAD)[:, telling]
     n_bad = said.sum(axis=1)
     good = np.where(n_bad > 0, 0.15, np.where(n_good > 0, 0.95, 0.5))
-    simple = maximised(votes, weight, np.stack([good, 1 - good], axis=1), rounds, 0.0)
+    simple = maximised(votes, weight, np.stack([good, 1 - good], axis=1), rounds)
     if len(telling) < 2:
         return simple
     even = np.full(len(telling), 1.0 / len(telling))
     kinds = np.where(n_bad[:, None] > 0, said / np.maximum(n_bad, 1)[:, None], even)
-    several = maximised(votes, weight, np.concatenate([good[:, None], (1 - good)[:, None] * kinds], axis=1), rounds, LEAST_ERROR)
+    # a kind holds together only if its documents are there from the first round on
+    good = np.where(n_bad > 0, LEAST_ERROR, good)
+    several = maximised(votes, weight, np.concatenate([good[:, None], (1 - good)[:, None] * kinds], axis=1), rounds, telling)
     gain = several.likelihood(votes, weight) - simple.likelihood(votes, weight)
     return several if gain > (len(several.priors) - 2) * (2 * n_rules + 1) else simple
 
