@@ -183,6 +183,11 @@ def _price_block(frame: pd.DataFrame) -> pd.DataFrame:
             continue
         total += priced(left, right, *wholes)
         start, step = end, min(BLOCK_TERMS, step * 2)
+    # terms of the block that no group here has: level zero on both sides
+    absent = int(known["here"].iloc[0]) - n_terms
+    if absent and total.size:
+        p, q = (shares(np.zeros(len(whole), dtype=np.int64), whole) for whole in wholes)
+        total += absent * ((p[:, None] - q[None, :]) ** 2 // q[None, :])
     lang = frame["lang"].iloc[0]
     pairs = [(lang, a, b, int(total[x, y])) for a, x in sources[0].items() for b, y in sources[1].items() if a != b]
     return pd.DataFrame(pairs, columns=["lang", "source", "item", "value"])
@@ -202,16 +207,18 @@ def pair_values(kept: DataFrame, groups: DataFrame, langs: DataFrame) -> DataFra
     own = F.pmod(F.xxhash64("source"), "group_blocks").cast("int")
     counts = kept.join(cuts, "lang").select(
         "lang", F.pmod(F.xxhash64("term"), "term_blocks").cast("int").alias("b"), own.alias("own"), "group_blocks",
-        "source", "term", "n", F.lit(None).cast("bigint").alias("whole"),
+        "source", "term", "n", F.lit(None).cast("bigint").alias("whole"), F.lit(None).cast("bigint").alias("here"),
     )
+    here = counts.groupBy("lang", "b", "term").agg(F.lit(1)).groupBy("lang", "b").agg(F.count("*").alias("here"))
     named = groups.join(cuts, "lang").select(
         "lang", F.explode(F.sequence(F.lit(0), F.col("term_blocks") - 1)).alias("b"), own.alias("own"), "group_blocks",
         "source", F.lit(None).cast("string").alias("term"), F.lit(0).cast("bigint").alias("n"),
         (F.col("total") + F.col("n_terms")).alias("whole"),
     )
+    named = named.join(here, ["lang", "b"], "left").na.fill(0, ["here"])
     every = F.explode(F.sequence(F.lit(0), F.col("group_blocks") - 1))
     both = counts.unionByName(named)
-    columns = ["lang", "b", "i", "j", "left", "source", "term", "n", "whole"]
+    columns = ["lang", "b", "i", "j", "left", "source", "term", "n", "whole", "here"]
     lefts = both.select("*", F.col("own").alias("i"), every.alias("j"), F.lit(True).alias("left")).select(*columns)
     rights = both.select("*", F.col("own").alias("j"), every.alias("i"), F.lit(False).alias("left")).where(F.col("i") != F.col("j"))
     dealt = lefts.unionByName(rights.select(*columns))
