@@ -279,16 +279,20 @@ def _cross(members: DataFrame, bags: DataFrame | None, similarity: float) -> Dat
             F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("classes")
         )
         mixed_up = members.join(largest.where(F.col("classes") > 1).drop("classes"), "bucket")
-        sketches = stage(sketches_of(bags.join(mixed_up.select("key").distinct(), "key", "left_semi")), "sketches")
-        sketched = mixed_up.join(sketches, "key")
+        # all buckets of a text that hold several classes: a pair is made in the first that both are in
+        lists = mixed_up.groupBy("key").agg(F.collect_list("bucket").alias("buckets"))
+        sketches = stage(sketches_of(bags.join(lists.select("key"), "key", "left_semi")), "sketches")
+        sketched = mixed_up.join(sketches.join(lists, "key"), "key")
         outside = sketched.where(F.col("root") != F.col("largest"))
         other = sketched.select(
-            "bucket", F.col("key").alias("other"), F.col("root").alias("its_root"), F.col("sketch").alias("its_sketch")
+            "bucket", F.col("key").alias("other"), F.col("root").alias("its_root"), F.col("sketch").alias("its_sketch"),
+            F.col("buckets").alias("its_buckets"),
         )
         spread = (similarity * (1 - similarity) / SKETCH) ** 0.5
         least = int((similarity - 4 * spread) * SKETCH)
         once = (F.col("its_root") == F.col("largest")) | (F.col("key") < F.col("other"))
-        near = (F.col("root") != F.col("its_root")) & once & (_agreement("sketch", "its_sketch") >= least)
+        here = F.array_min(F.array_intersect("buckets", "its_buckets")) == F.col("l.bucket")
+        near = (F.col("root") != F.col("its_root")) & once & here & (_agreement("sketch", "its_sketch") >= least)
         pairs = outside.alias("l").join(
             other.alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & near
         )
