@@ -1,6 +1,7 @@
 """Source divergence, hard negatives and the trie self-join, against brute force and on awkward input."""
 
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -269,3 +270,23 @@ def test_documents_get_their_component(spark, awkward, nothing):
     rows = simhash_trie.near_duplicates(awkward).collect()
     assert len(rows) == awkward.count() and all(row["fingerprint"] is not None for row in rows)
     assert simhash_trie.near_duplicates(nothing).collect() == []
+
+
+# ---- queries
+
+
+@pytest.mark.parametrize("name", ["op11_source_divergence", "op12_hard_negatives"])
+def test_queries_equal_sql(spark, name):
+    book, tables = pytest.importorskip("emberline.llm.book"), pytest.importorskip("tests.check_oracle")
+    sf_dir = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("test tables not present")
+    query, sql = book.LLM_BOOK[name]
+    assert tables.compare(spark, tables.oracle(sf_dir), name, query, sql, sf_dir, may_be_empty=False) is None
+
+
+def test_the_new_operators_are_registered():
+    import __spark_entry__ as entry
+
+    names = list(entry.queries())
+    assert [sum(name.startswith(f"op{n}_") for name in names) for n in range(11, 14)] == [1] * 3
