@@ -20,6 +20,12 @@ SCRUB = [
     (r"\s(?:(?<! )\s*|\s+)", " "),
 ]
 
+# What a text must hold for the first three rules to find anything. Placeholders add no such text, and
+# most messages have none of it: a plain search for it is several times faster than the rules.
+UUID_LIKE = r"-\p{XDigit}{4}-\p{XDigit}{4}-\p{XDigit}{4}-"
+IP_LIKE = r"\.\d{1,3}\.\d{1,3}\."
+ID_LIKE = r"\p{XDigit}{16}"
+
 
 def _scrub(message: Column, rules: list[tuple[str, str]]) -> Column:
     for pattern, placeholder in rules:
@@ -30,14 +36,14 @@ def _scrub(message: Column, rules: list[tuple[str, str]]) -> Column:
 def normalize_message(message: Column | str) -> Column:
     """The message with its variable parts scrubbed; blank becomes empty.
 
-    Addresses and numbers need a digit, UUIDs a digit or a dash: texts without them skip those rules.
+    Rules that cannot find anything in the message, as given, are skipped.
     """
     message = column(message)
-    uuid_rule, _, id_rule, _, space_rule = SCRUB
+    _, ip_rule, _, number_rule, space_rule = SCRUB
     scrubbed = (
-        F.when(message.rlike("[0-9]"), _scrub(message, SCRUB))
-        .when(message.contains("-"), _scrub(message, [uuid_rule, id_rule, space_rule]))
-        .otherwise(_scrub(message, [id_rule, space_rule]))
+        F.when(message.rlike(UUID_LIKE) | message.rlike(ID_LIKE), _scrub(message, SCRUB))
+        .when(message.rlike(IP_LIKE), _scrub(message, [ip_rule, number_rule, space_rule]))
+        .otherwise(_scrub(message, [number_rule, space_rule]))
     )
     return F.when(is_blank(message), F.lit("")).otherwise(trimmed(scrubbed))
 

@@ -86,10 +86,18 @@ def _scan_text(value: Column) -> Column:
     ).otherwise(value)
 
 
-def json_level(fields: Column | str, message: Column | str) -> Column:
-    """Level of a JSON entry: level keys, then any value in order, then the raw message."""
+def json_level_value(fields: Column | str) -> Column:
+    """The text of the first level key that is not null."""
+    return first_value(column(fields), "level", "severity", "lvl")
+
+
+def json_level(fields: Column | str, message: Column | str, given: Column | str | None = None) -> Column:
+    """Level of a JSON entry: level keys, then any value in order, then the raw message.
+
+    ``given`` is the value of the level keys, where it is at hand.
+    """
     fields, message = column(fields), column(message)
-    by_key = named_level(first_value(fields, "level", "severity", "lvl"))
+    by_key = named_level(json_level_value(fields) if given is None else given)
     scanned = F.transform(
         _values_in_order(fields), lambda value: _json_token_level(_scan_text(value))
     )

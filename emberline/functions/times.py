@@ -20,9 +20,14 @@ JSON_TIME = (
 JSON_TIME_KEYS = ["@timestamp", "timestamp", "ts", "time"]
 
 
-def text_event_time(first_line: Column | str) -> Column:
-    """First time in the line. Without an offset it is UTC; an offset without a colon is invalid."""
-    found = F.regexp_extract(column(first_line), TEXT_TIME, 0)
+def found_time(first_line: Column | str) -> Column:
+    """The first time in the line as it stands there, empty if there is none."""
+    return F.regexp_extract(column(first_line), TEXT_TIME, 0)
+
+
+def found_instant(found: Column | str) -> Column:
+    """What ``found_time`` has found. Without an offset it is UTC; an offset without a colon is invalid."""
+    found = column(found)
     iso = F.translate(found, ", ", ".T")
     return (
         F.when(found == "", None)
@@ -32,12 +37,18 @@ def text_event_time(first_line: Column | str) -> Column:
     )
 
 
-def _json_instant(raw: Column) -> Column:
+def text_event_time(first_line: Column | str) -> Column:
+    """First time in the line. Without an offset it is UTC; an offset without a colon is invalid."""
+    return found_instant(found_time(first_line))
+
+
+def json_instant(raw: Column | str) -> Column:
     """An ISO instant with a mandatory offset.
 
     Ordinary values go straight to the cast. Lower-case letters, missing seconds, the end-of-day
     hour 24 and a leap second are put into the form the cast accepts first.
     """
+    raw = column(raw)
     upper = F.upper(raw)
     with_seconds = F.regexp_replace(upper, r"T(\d{2}:\d{2})(?=[Z+-])", "T$1:00")
     no_leap = F.regexp_replace(with_seconds, r"T23:59:60", "T23:59:59")
@@ -50,9 +61,14 @@ def _json_instant(raw: Column) -> Column:
     return F.when(~raw.rlike(JSON_TIME), None).otherwise(F.coalesce(direct, unusual))
 
 
+def json_time_value(fields: Column | str) -> Column:
+    """The text of the first time key that is not null."""
+    return first_value(column(fields), *JSON_TIME_KEYS)
+
+
 def json_event_time(fields: Column | str) -> Column:
     """Time of a JSON entry: the first time key that is not null decides, parseable or not."""
-    return _json_instant(first_value(column(fields), *JSON_TIME_KEYS))
+    return json_instant(json_time_value(fields))
 
 
 def event_or_ingest_time(

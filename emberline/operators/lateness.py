@@ -123,6 +123,12 @@ def segments_of(runs: DataFrame, spans: DataFrame, width: int, slice_width: int)
     return running(placed, ["fingerprint"], ORDER, [Track("_segment", "sum", F.col("_cut").cast("bigint"))], slice_width)
 
 
+def dealt(runs: DataFrame, *keys: str) -> DataFrame:
+    """The runs dealt out by key, over as many tasks as are set: they are few bytes, and yet much work."""
+    tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return runs.repartition(tasks, *keys)
+
+
 def _fold_arrays(segments: DataFrame, held: DataFrame | None, width: int) -> DataFrame:
     """(fingerprint, _segment, begun, held): the events that begin a window, the windows held in the end."""
     grouped = segments.groupBy("fingerprint", "_segment").agg(
@@ -187,9 +193,9 @@ def _fold_rows(segments: DataFrame, held: DataFrame | None, width: int) -> DataF
         if at:
             yield pd.DataFrame([(*at, None, sorted(windows))], columns=["fingerprint", "_segment", "begun", "held"])
 
-    dealt = rows.repartition("fingerprint", "_segment").sortWithinPartitions("fingerprint", "_segment", *ORDER)
+    ordered = dealt(rows, "fingerprint", "_segment").sortWithinPartitions("fingerprint", "_segment", *ORDER)
     key = rows.schema["fingerprint"].dataType.simpleString()
-    return dealt.mapInPandas(fold, f"fingerprint {key}, _segment bigint, begun array<{EVENT}>, held array<bigint>")
+    return ordered.mapInPandas(fold, f"fingerprint {key}, _segment bigint, begun array<{EVENT}>, held array<bigint>")
 
 
 def _folded(runs: DataFrame, spans: DataFrame, held: DataFrame | None, width: int, slice_width: int, segment_runs: int) -> DataFrame:
@@ -197,7 +203,7 @@ def _folded(runs: DataFrame, spans: DataFrame, held: DataFrame | None, width: in
     plain = {"_new": F.lit(False), "_cut": F.lit(False), "_segment": F.lit(0).cast("bigint")}
     many = runs.groupBy("fingerprint").agg(F.count("*").alias("n")).where(F.col("n") > segment_runs).drop("n")
     if many.isEmpty():
-        return _fold_arrays(runs.withColumns(plain), held, width)
+        return _fold_arrays(dealt(runs, "fingerprint").withColumns(plain), held, width)
     many = stage(many, "many")
     few = keep_matching(runs, many, ["fingerprint"], "left_anti").withColumns(plain)
     busy = keep_matching(runs, many, ["fingerprint"], "left_semi")
@@ -205,7 +211,7 @@ def _folded(runs: DataFrame, spans: DataFrame, held: DataFrame | None, width: in
     which = ["fingerprint", "_segment"]
     long = stage(segments.groupBy(*which).agg(F.count("*").alias("n")).where(F.col("n") > segment_runs).drop("n"), "long")
     short = few.unionByName(keep_matching(segments, long, which, "left_anti"))
-    folded = _fold_arrays(short, held, width)
+    folded = _fold_arrays(dealt(short, *which), held, width)
     if long.isEmpty():
         return folded
     return folded.unionByName(_fold_rows(keep_matching(segments, long, which, "left_semi"), held, width))
@@ -242,7 +248,8 @@ def fold_windows(
         if late.isEmpty():
             return None
         runs = stage(_runs(rows, late, slice_width), "runs")
-        restarts = stage(_restarts(_folded(runs, spans, None, width, slice_width, segment_runs), None), "restarts")
+        folded = stage(_folded(runs, spans, None, width, slice_width, segment_runs), "folded")
+        restarts = stage(_restarts(folded, None), "restarts")
         return None if restarts.isEmpty() else Fold(restarts)
 
     whole = Window.partitionBy("fingerprint")

@@ -8,9 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.functions.identity import fingerprint_of
-from emberline.functions.levels import json_level, text_level
+from emberline.functions.levels import json_level, json_level_value, text_level
 from emberline.functions.text import column, is_blank, trimmed
-from emberline.functions.times import json_event_time, text_event_time
+from emberline.functions.times import (
+    found_instant,
+    found_time,
+    json_event_time,
+    json_instant,
+    json_time_value,
+    text_event_time,
+)
 
 # Strict JSON: Spark's reader would otherwise take single quotes and NaN.
 _STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
@@ -90,15 +97,20 @@ def parse_entries(entries: DataFrame, parsers: list[Parser] | None = None) -> Da
     if parsers is not None:
         parsed = entries.withColumn("_parsed", F.coalesce(*[parse(F.col("message")) for parse in parsers]))
         return parsed.select("*", "_parsed.*").select(*_event_columns(entries))
-    # Staged, so that the map and the first line are computed once per row.
+    # Staged, so that the map, the first line and what is found in them are computed once per row.
     staged = entries.withColumn("_fields", json_fields("message")).withColumn(
         "_line", F.when(F.col("_fields").isNull(), first_line("message"))
     )
     is_json = F.col("_fields").isNotNull()
-    return staged.select(
+    found = staged.select(
         "*",
-        F.when(is_json, json_event_time("_fields")).otherwise(text_event_time("_line")).alias("event_time"),
-        F.when(is_json, json_level("_fields", "message")).otherwise(text_level("_line")).alias("level"),
+        F.when(is_json, json_time_value("_fields")).otherwise(found_time("_line")).alias("_time"),
+        F.when(is_json, json_level_value("_fields")).alias("_level"),
+    )
+    return found.select(
+        "*",
+        F.when(is_json, json_instant("_time")).otherwise(found_instant("_time")).alias("event_time"),
+        F.when(is_json, json_level("_fields", "message", "_level")).otherwise(text_level("_line")).alias("level"),
     ).select(*_event_columns(entries))
 
 
