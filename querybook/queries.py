@@ -420,7 +420,9 @@ def rejected_commands(spark, d):
     )
 )
 def attach_incident(spark, d):
-    attached = incidents.attach_incident(given.anomalies(spark, d), _outcome(spark, d).fold.incidents)
+    found = given.anomalies(spark, d)
+    folded = incidents_of(given.summarised(spark, d, found), given.commands(spark, d)).fold.incidents
+    attached = incidents.attach_incident(found, folded)
     return attached.select("seq", "fingerprint", "source_id", "incident_id", "incident_status")
 
 

@@ -174,9 +174,12 @@ def with_given_summaries(found: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def summarised(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    return stage(with_given_summaries(found, table(spark, sf_dir, "events")), "summarised")
+
+
 def summarised_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_given_summaries(anomalies(spark, sf_dir), table(spark, sf_dir, "events"))
-    return stage(found, "summarised")
+    return summarised(spark, sf_dir, anomalies(spark, sf_dir))
 
 
 def responses(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
