@@ -31,11 +31,13 @@ def split_open(
     now: dt.datetime | None,
     max_lines: int = MAX_ENTRY_LINES,
     idle_ms: int = IDLE_FLUSH_MS,
+    place: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Segmented lines as (finished entry parts, open lines).
 
     The last part of a source stays open until it is full or a pause passed. ``now`` is the clock the
-    pause is measured against; None leaves every unfinished part open.
+    pause is measured against; None leaves every unfinished part open. The open parts, at most one per
+    source, are read twice; with ``place`` they are found once and stored there.
     """
     part = ["source_id", "entry_key", "chunk"]
     parts = segmented.groupBy(*part).agg(
@@ -55,6 +57,8 @@ def split_open(
         F.col("_tail.entry_key").alias("_e"),
         F.col("_tail.chunk").alias("_c"),
     )
+    if place is not None:
+        open_parts = stage(open_parts, "open", place)
     # Joined on the whole part key, of which a part has at most max_lines rows.
     same = (
         F.col("source_id").eqNullSafe(F.col("_s"))
@@ -100,12 +104,14 @@ class EntryStream:
             "segmented",
             f"{self.state}-segmented/v={batch_id}",
         )
-        finished, opened = split_open(segmented, now, self.max_lines, self.idle_ms)
         if last:
-            finished, opened = assemble_entries(segmented), opened.limit(0)
+            finished, opened = assemble_entries(segmented), segmented.drop("entry_key", "chunk").limit(0)
+        else:
+            place = f"{self.state}-open/v={batch_id}"
+            finished, opened = split_open(segmented, now, self.max_lines, self.idle_ms, place)
         finished.write.mode("overwrite").parquet(f"{self.output}/batch_id={batch_id}")
         write_version(opened, self.state, batch_id)
-        for path in (self.state, f"{self.state}-segmented"):
+        for path in (self.state, f"{self.state}-segmented", f"{self.state}-open"):
             drop_old_version(spark, path, batch_id)
 
     def start(

@@ -1,13 +1,18 @@
 """Steps that many queries share do their work once, and over all tasks."""
 
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
 from emberline.functions import identity
 from emberline.functions.times import TEXT_TIME
 from emberline.operators import lateness
+from emberline.operators.entries import segment_entries
 from emberline.operators.parsing import log_events, parse_entries
+from emberline.schemas import LOG_LINES
+from emberline.sources.tables import read_version
+from emberline.streaming.entries import EntryStream, split_open
 from querybook import queries, tables
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
@@ -46,3 +51,17 @@ def test_skipped_rules_find_nothing(spark, strings):
     texts = [a + b + c for a in [*pieces, uuid] for b in pieces for c in [*pieces, uuid]]
     whole = strings(texts, lambda c: F.when(identity.is_blank(c), "").otherwise(identity.trimmed(identity._scrub(F.col(c), identity.SCRUB))))
     assert strings(texts, identity.normalize_message) == whole
+
+
+def test_open_parts_are_found_once(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    rows = [("D", f"s{n % 3}", None, at, False, line, n) for n, line in enumerate(["a", "b", "c", "  at x", "d", "e", "f"])]
+    lines = spark.createDataFrame(rows, LOG_LINES)
+    stream = EntryStream(f"{tmp_path}/out", f"{tmp_path}/state", use_clock=False)
+    stream.process(lines, 0)
+    assert os.path.exists(f"{tmp_path}/state-open/v=0/_SUCCESS")
+    finished, opened = split_open(segment_entries(lines), None)
+    written = spark.read.parquet(f"{tmp_path}/out/batch_id=0")
+    assert sorted(written.select("source_id", "message").collect()) == sorted(finished.select("source_id", "message").collect())
+    held = read_version(spark, f"{tmp_path}/state", 0, LOG_LINES)
+    assert sorted(r.seq for r in held.collect()) == sorted(r.seq for r in opened.collect()) == [4, 5, 6]
