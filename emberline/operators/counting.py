@@ -10,6 +10,7 @@ from emberline.functions.times import event_or_ingest_time, window_start
 from emberline.operators.lateness import BEFORE, ORDER, Fold, fold_windows, keep_matching
 from emberline.operators.running import DEFAULT_SLICE_WIDTH, Track, running, slice_of
 from emberline.schemas import ALERT_THRESHOLD, WINDOW_SECONDS
+from emberline.session import stage
 
 GROUP = ["fingerprint", "window_start"]
 
@@ -159,9 +160,12 @@ def detect_anomalies(
 ) -> DataFrame:
     """One anomaly per ERROR event whose running count is above the threshold.
 
-    Every level is counted; the level filter applies to the counted events only.
+    Every level is counted; the level filter applies to the counted events only. The late rule and the
+    counts look at one fingerprint at a time, so those without an ERROR event are left out before both.
     """
-    rows = with_window(events, window_seconds)
+    # stored, so that its size is known and few fingerprints need no shuffle of the events
+    failing = stage(events.where(F.col("level") == "ERROR").select("fingerprint").distinct(), "failing")
+    rows = with_window(stage(keep_matching(events, failing, ["fingerprint"], "left_semi"), "candidates"), window_seconds)
     fold = fold_windows(rows, window_seconds, slice_width)
     plain, again = _plain_and_restarted(rows, fold)
     counted = _count_above(plain, threshold, slice_width)
