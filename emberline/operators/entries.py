@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.text import BLANK, column
-from emberline.operators.running import DEFAULT_SLICE_WIDTH, slice_of
+from emberline.operators.running import DEFAULT_SLICE_WIDTH, dealt, slice_of
 from emberline.schemas import IDLE_FLUSH_MS, MAX_ENTRY_LINES
 
 # Beginnings that mark a continuation line.
@@ -86,7 +86,8 @@ def segment_entries(
     ordered = Window.partitionBy(*part).orderBy(F.col("_seed").desc(), "seq")
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     opened = (
-        both.withColumn("_previous", F.lag("received_at").over(ordered))
+        dealt(both, *part)
+        .withColumn("_previous", F.lag("received_at").over(ordered))
         .withColumn("_running", F.sum("_weight").over(upto))
         .withColumn("_start", ~F.col("_seed") & (F.col("_header") | pauses))
         .withColumn(
@@ -116,7 +117,7 @@ def assemble_entries(segmented: DataFrame) -> DataFrame:
 
     A group holds at most ``max_lines`` lines, so the collected list is bounded.
     """
-    packed = F.array_sort(
+    packed = F.sort_array(
         F.collect_list(
             F.struct(
                 "seq",
@@ -127,7 +128,8 @@ def assemble_entries(segmented: DataFrame) -> DataFrame:
             )
         )
     )
-    grouped = segmented.groupBy("source_id", "entry_key", "chunk").agg(packed.alias("_lines"))
+    part = ["source_id", "entry_key", "chunk"]
+    grouped = dealt(segmented, *part).groupBy(*part).agg(packed.alias("_lines"))
     first = F.get("_lines", F.lit(0))
     return grouped.select(
         first["source_type"].alias("source_type"),

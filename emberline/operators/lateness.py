@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.operators.running import Track, running
+from emberline.operators.running import Track, dealt, running
 from emberline.schemas import RETAINED_WINDOWS
 from emberline.session import stage
 
@@ -123,12 +123,6 @@ def segments_of(runs: DataFrame, spans: DataFrame, width: int, slice_width: int)
     return running(placed, ["fingerprint"], ORDER, [Track("_segment", "sum", F.col("_cut").cast("bigint"))], slice_width)
 
 
-def dealt(runs: DataFrame, *keys: str) -> DataFrame:
-    """The runs dealt out by key, over as many tasks as are set: they are few bytes, and yet much work."""
-    tasks = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return runs.repartition(tasks, *keys)
-
-
 def _fold_arrays(segments: DataFrame, held: DataFrame | None, width: int) -> DataFrame:
     """(fingerprint, _segment, begun, held): the events that begin a window, the windows held in the end."""
     grouped = segments.groupBy("fingerprint", "_segment").agg(

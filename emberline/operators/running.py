@@ -31,6 +31,14 @@ def slice_of(order: str, width: int) -> Column:
     return F.expr(f"`{order}` div {int(width)}")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by key over as many tasks as are set, however few bytes they are.
+
+    For steps with much work a row: by bytes alone they get about one task a core, and then wait for the longest.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _summarise(track: Track, order: list[str]) -> Column:
     value = F.col(track.name)
     if track.how == "sum":
@@ -55,11 +63,13 @@ def running(
     slice_width: int = DEFAULT_SLICE_WIDTH,
     include_current: bool = True,
     slice_name: str | None = None,
+    deal: bool = False,
 ) -> DataFrame:
     """``rows`` plus one column per track, folded over the rows of the same keys up to this one.
 
     ``order[0]`` must be a bigint that rises with arrival; the other columns break ties. Null keys
-    form a group of their own. ``slice_name`` keeps the slice number for later use.
+    form a group of their own. ``slice_name`` keeps the slice number for later use. ``deal`` is for wide
+    rows, whose pass takes all tasks (``dealt``).
     """
     cut = slice_name or "_slice"
     kept = rows.columns
@@ -91,6 +101,8 @@ def running(
     both = marked.withColumn("_seed", F.lit(False)).unionByName(
         seeds.withColumn("_seed", F.lit(True)), allowMissingColumns=True
     )
+    if deal:
+        both = dealt(both, *group)
     result = both.select(
         *kept, "_seed", *([cut] if slice_name else []), *[_over(track, upto) for track in tracks]
     )

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from emberline.functions import identity
 from emberline.functions.times import TEXT_TIME
-from emberline.operators import lateness
-from emberline.operators.entries import segment_entries
+from emberline.operators import counting, lateness
+from emberline.operators.entries import assemble_entries, segment_entries
+from emberline.operators.incidents import fold_incidents
 from emberline.operators.parsing import log_events, parse_entries
 from emberline.schemas import LOG_LINES
 from emberline.sources.tables import read_version
@@ -65,3 +66,26 @@ def test_open_parts_are_found_once(spark, tmp_path):
     assert sorted(written.select("source_id", "message").collect()) == sorted(finished.select("source_id", "message").collect())
     held = read_version(spark, f"{tmp_path}/state", 0, LOG_LINES)
     assert sorted(r.seq for r in held.collect()) == sorted(r.seq for r in opened.collect()) == [4, 5, 6]
+
+
+def test_late_rule_sees_failing_fingerprints_only(spark, monkeypatch):
+    schema = "source_type string, source_id string, source_name string, ingest_time timestamp, event_time timestamp, level string, message string, fingerprint string, seq bigint"
+    at = dt.datetime(2024, 1, 1)
+    levels = {"bad": ["ERROR"] * 4, "mixed": ["INFO", "INFO", "INFO", "ERROR"], "good": ["INFO"] * 4, None: ["ERROR"] * 4}
+    rows = [("D", "s", None, at, at, level, "m", name, 10 * n + k) for k, (name, all_) in enumerate(levels.items()) for n, level in enumerate(all_)]
+    seen, plain = [], counting.fold_windows
+    monkeypatch.setattr(counting, "fold_windows", lambda given, *more: seen.append(given) or plain(given, *more))
+    found = counting.detect_anomalies(spark.createDataFrame(rows, schema), 60, 2)
+    assert sorted((r.fingerprint or "", r["count"]) for r in found.collect()) == [("", 3), ("", 4), ("bad", 3), ("bad", 4), ("mixed", 4)]
+    assert {r.fingerprint for r in seen[0].collect()} == {"bad", "mixed", None}
+
+
+def test_entries_and_steps_take_all_tasks(spark):
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    at = dt.datetime(2024, 1, 1)
+    lines = spark.createDataFrame([("D", f"s{n % 3}", None, at, False, f"line {n}", n) for n in range(20)], LOG_LINES)
+    segmented = segment_entries(lines)
+    assert segmented.rdd.getNumPartitions() == tasks
+    assert assemble_entries(segmented).rdd.getNumPartitions() == tasks
+    anomalies = spark.createDataFrame([("f", "s", 1, 5, "ERROR", None, at, "m")], "fingerprint string, source_id string, seq bigint, count bigint, level string, source_name string, detected_at timestamp, sample_message string")
+    assert fold_incidents(anomalies).steps.rdd.getNumPartitions() == tasks
