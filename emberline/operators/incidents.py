@@ -272,7 +272,6 @@ def fold_incidents(
         slice_width,
         include_current=False,
         slice_name="slice",
-        deal=True,
     )
     is_prior = F.col("prior").isNotNull()
     is_anomaly = F.col("kind") == "ANOMALY"
